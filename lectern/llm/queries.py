@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import mixing, residue, tokenizer
+from lectern.llm import mixing, residue, splitting, tokenizer
 from lectern.llm._util import read
 
 
+def _texts(spark: SparkSession, root: str, *tables: str) -> DataFrame:
+    """`rec, rec_key, text` of the tables named, one after the other."""
+    columns = {"documents": ("doc_id", "text"), "pages": ("page_id", "text"), "definitions": ("def_id", "excerpt"), "books": ("id", "title")}
+    parts = [
+        read(spark, root, t).select(F.lit(t).alias("rec"), F.col(columns[t][0]).cast("string").alias("rec_key"), F.col(columns[t][1]).alias("text")) for t in tables
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.oversized(read(spark, root, "documents"), read(spark, root, "pages"), read(spark, root, "books"))
+
+
+def p6_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.text_pieces(_texts(spark, root, "documents", "pages"))
+
+
+def p6_book_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.book_pieces(read(spark, root, "books"), read(spark, root, "pages"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizer.token_ids(read(spark, root, "documents").select("doc_id", "text"))
 
@@ -30,7 +53,14 @@ def p10_kept(spark: SparkSession, root: str) -> DataFrame:
     return residue.without_residue(read(spark, root, "documents").select("doc_id", "text", "lang", "source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_ids, p9_selection, p9_shares, p10_found, p10_kept)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_pieces, p6_book_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_kept)}
 
 #: Equivalent SQL where SQL can express the operator over whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p6_found": """
+        SELECT 'documents' AS rec, CAST(doc_id AS VARCHAR) AS rec_key FROM documents WHERE length(text) > 4000
+        UNION SELECT 'pages', CAST(page_id AS VARCHAR) FROM pages WHERE length(text) > 4000
+        UNION SELECT 'books', book_id FROM (SELECT DISTINCT page_id, book_id, coalesce(length(text), 0) AS n FROM pages)
+        WHERE book_id IN (SELECT id FROM books) GROUP BY book_id HAVING sum(n) > 25000
+    """,
+}

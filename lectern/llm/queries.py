@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import encoding, lookalikes, mixing, residue, splitting, tokenizer
+from lectern.llm import encoding, lookalikes, mixing, neardup, residue, splitting, tokenizer
 from lectern.llm._util import read
 
 
@@ -39,6 +39,25 @@ def p3_rewritten(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.rewrite(texts, lookalikes.rewriter([texts]))
 
 
+def _excerpts(spark: SparkSession, root: str) -> DataFrame:
+    return read(spark, root, "definitions").select(F.col("def_id").alias("id"), F.array("excerpt").alias("texts"))
+
+
+def _books(spark: SparkSession, root: str) -> DataFrame:
+    excerpts = F.flatten(F.transform(F.map_values("definitions"), lambda ds: F.transform(ds, lambda d: d["excerpt"])))
+    return read(spark, root, "books").select("id", excerpts.alias("texts"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    kinds = {"excerpt": _excerpts(spark, root), "book": _books(spark, root)}
+    return reduce(DataFrame.unionByName, [neardup.similar_pairs(r).select(F.lit(k).alias("kind"), "id_a", "id_b") for k, r in kinds.items()])
+
+
+def p4_groups(spark: SparkSession, root: str) -> DataFrame:
+    kinds = {"excerpt": _excerpts(spark, root), "book": _books(spark, root)}
+    return reduce(DataFrame.unionByName, [neardup.groups(*neardup.similar_sets(r.where("id IS NOT NULL"))).select(F.lit(k).alias("kind"), "id", "group", "n_links") for k, r in kinds.items()])
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return splitting.oversized(read(spark, root, "documents"), read(spark, root, "pages"), read(spark, root, "books"))
 
@@ -71,7 +90,7 @@ def p10_kept(spark: SparkSession, root: str) -> DataFrame:
     return residue.without_residue(read(spark, root, "documents").select("doc_id", "text", "lang", "source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_rewritten, p6_found, p6_pieces, p6_book_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_kept)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_rewritten, p4_found, p4_groups, p6_found, p6_pieces, p6_book_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_kept)}
 
 #: Equivalent SQL where SQL can express the operator over whole tables.
 ORACLE: dict[str, str] = {

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import encoding, lookalikes, mixing, neardup, residue, splitting, tokenizer
+from lectern.llm import encoding, lookalikes, mixing, neardup, residue, scans, splitting, tokenizer
 from lectern.llm._util import read
 
 
@@ -70,6 +70,16 @@ def p6_book_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.book_pieces(read(spark, root, "books"), read(spark, root, "pages"))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    texts = _texts(spark, root, "documents", "pages", "definitions")
+    return scans.find(texts, scans.vocabulary(texts)).select("rec", "rec_key")
+
+
+def p7_repaired(spark: SparkSession, root: str) -> DataFrame:
+    texts = _texts(spark, root, "documents", "pages", "definitions")
+    return scans.find(texts, scans.vocabulary(texts), repaired=True)
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizer.token_ids(read(spark, root, "documents").select("doc_id", "text"))
 
@@ -90,7 +100,7 @@ def p10_kept(spark: SparkSession, root: str) -> DataFrame:
     return residue.without_residue(read(spark, root, "documents").select("doc_id", "text", "lang", "source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_rewritten, p4_found, p4_groups, p6_found, p6_pieces, p6_book_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_kept)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_rewritten, p4_found, p4_groups, p6_found, p6_pieces, p6_book_pieces, p7_found, p7_repaired, p8_ids, p9_selection, p9_shares, p10_found, p10_kept)}
 
 #: Equivalent SQL where SQL can express the operator over whole tables.
 ORACLE: dict[str, str] = {

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import encoding, lookalikes, mixing, neardup, residue, scans, splitting, tokenizer
+from lectern.llm import encoding, lookalikes, mixing, neardup, quality, residue, scans, splitting, tokenizer
 from lectern.llm._util import read
 
 
@@ -55,7 +55,15 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_groups(spark: SparkSession, root: str) -> DataFrame:
     kinds = {"excerpt": _excerpts(spark, root), "book": _books(spark, root)}
-    return reduce(DataFrame.unionByName, [neardup.groups(*neardup.similar_sets(r.where("id IS NOT NULL"))).select(F.lit(k).alias("kind"), "id", "group", "n_links") for k, r in kinds.items()])
+    return reduce(DataFrame.unionByName, [neardup.groups(*neardup.similar_sets(r)).select(F.lit(k).alias("kind"), "id", "group", "n_links") for k, r in kinds.items()])
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return quality.not_prose(read(spark, root, "documents"))
+
+
+def p5_statistics(spark: SparkSession, root: str) -> DataFrame:
+    return quality.statistics(read(spark, root, "documents"))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -100,7 +108,7 @@ def p10_kept(spark: SparkSession, root: str) -> DataFrame:
     return residue.without_residue(read(spark, root, "documents").select("doc_id", "text", "lang", "source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_rewritten, p4_found, p4_groups, p6_found, p6_pieces, p6_book_pieces, p7_found, p7_repaired, p8_ids, p9_selection, p9_shares, p10_found, p10_kept)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_rewritten, p4_found, p4_groups, p5_found, p5_statistics, p6_found, p6_pieces, p6_book_pieces, p7_found, p7_repaired, p8_ids, p9_selection, p9_shares, p10_found, p10_kept)}
 
 #: Equivalent SQL where SQL can express the operator over whole tables.
 ORACLE: dict[str, str] = {

@@ -42,8 +42,18 @@ FILLER = (
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
     "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
-#: What sites say when they fail or demand scripts or cookies, by language (fixed values).
+#: What stands for text to come, and what sites say when they fail or demand scripts or cookies, by language (fixed values).
 MESSAGES = (
+    # text that stands for text to come
+    r"\breplace this (?:paragraph|text|sentence)\b",
+    r"\b(?:text|content|chapter|title) (?:pending|to follow|to come)\b",
+    r"\bto be supplied\b",
+    r"\bclick (?:here )?to (?:add|edit) (?:text|title|content)\b",
+    r"\b(?:copy|text|content) goes here\b",
+    r"\byour (?:own )?text here\b",
+    r"^\W*(?:placeholder|sample|dummy) text\b",
+    r"\b(?:texto de relleno|blindtext|platzhaltertext|faux texte|texto provisório|texto simulado)\b",
+    r"\b(?:texte à venir|text folgt|texto por vir|texto pendiente)\b",
     # English
     r"\b(?:enable|turn on|activate|allow|requires?) (?:java)?scripts?\b",
     r"\bjavascript is (?:disabled|required|not)",
@@ -142,7 +152,7 @@ MESSAGES = (
 ANCHORS = (
     "javascript script scripts cookies blocker browser loading verification reference seconds reload back later contact wait sign log persists session requests http error "
     "forbidden found gateway unauthorized server service available time bad unable connect connection unexpected permission denied wrong oops menu "
-    "not page chapter file document title internal "
+    "not page chapter file document title internal replace pending follow come supplied click copy here placeholder sample dummy relleno blindtext platzhaltertext faux provisório simulado venir folgt vir pendiente "
     "aktivieren erforderlich deaktiviert skripte geladen laden berechtigung versuchen angeforderte seite fehler fehlercode verweigert serverfehler sitzung "
     "activer activez chargement rechargez demandée introuvable trouvée réessayer droit accès code erreur interne expirée expiré "
     "active activar habilite cargando recargue solicitada encontrada intentarlo permiso denegado código interno sesión "
@@ -159,7 +169,7 @@ _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: A sentence of more words is no site's message.
 LONGEST_MESSAGE = 30
 _FILLER = frozenset(x + end for x in FILLER for end in ("", ".", ",", "!", "?", ";", ":"))
-_ANCHORS = frozenset(x + end for x in ANCHORS for end in ("", ".", ",", "!", "?", ";", ":", "...", "…", "(", ")"))
+_ANCHORS = frozenset(x + end for x in ANCHORS for end in ("", ".", ",", "!", "?", ";", ":", "...", "…", "(", ")", "]"))
 
 
 def kind_of(text: str | None, words_per_placeholder: float = 10.0, filler_share: float = 0.6, message_share: float = 0.5) -> str | None:

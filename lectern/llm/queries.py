@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import encoding, lookalikes, mixing, neardup, quality, residue, scans, splitting, tokenizer
+from lectern.llm import encoding, lookalikes, mixing, names, neardup, quality, residue, scans, splitting, tokenizer
 from lectern.llm._util import read
 
 
@@ -29,6 +29,14 @@ def p1_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.find(_texts(spark, root, "documents", "pages", "books"), read(spark, root, "documents"))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return names.same_entity(read(spark, root, "books"))
+
+
+def p2_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return names.clusters(read(spark, root, "books"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     texts = _texts(spark, root, "documents", "pages", "definitions")
     return lookalikes.find(texts, lookalikes.rewriter([texts]), encoding.dictionaries(read(spark, root, "documents"))).select("rec", "rec_key")
@@ -108,7 +116,7 @@ def p10_kept(spark: SparkSession, root: str) -> DataFrame:
     return residue.without_residue(read(spark, root, "documents").select("doc_id", "text", "lang", "source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_rewritten, p4_found, p4_groups, p5_found, p5_statistics, p6_found, p6_pieces, p6_book_pieces, p7_found, p7_repaired, p8_ids, p9_selection, p9_shares, p10_found, p10_kept)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_clusters, p3_found, p3_rewritten, p4_found, p4_groups, p5_found, p5_statistics, p6_found, p6_pieces, p6_book_pieces, p7_found, p7_repaired, p8_ids, p9_selection, p9_shares, p10_found, p10_kept)}
 
 #: Equivalent SQL where SQL can express the operator over whole tables.
 ORACLE: dict[str, str] = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Sequence
 
@@ -29,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that nothing refers to any more.
+
+    Its cleaner acts when the driver's JVM has collected garbage, which a driver
+    with little to do may not do for long. Call it when a large step is over.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def norm_lang(lang: Column) -> Column:
     """`EN`, `en-GB`, `en_us` -> `en`; null and blank -> `und`."""
     base = F.lower(F.regexp_extract(F.trim(lang), r"^([A-Za-z]+)", 1))

@@ -191,9 +191,11 @@ def vectors(names: DataFrame, size: int) -> DataFrame:
     return names.select("name").mapInArrow(run, "name string, gram string, tf double")
 
 
-def cosine_pairs(names: DataFrame, threshold: float = 0.3, size: int = 3) -> DataFrame:
+def cosine_pairs(names: DataFrame, threshold: float = 0.2, size: int = 3) -> DataFrame:
     """`a, b, cosine` (a < b) of all pairs of distinct names at or above the threshold.
 
+    An n-gram weighs its count times the square of its inverse document
+    frequency, so what many names share, as given names are, hardly counts.
     Top-n is unbounded here: every partner above the threshold is kept, because
     a cap would lose spellings. N-grams are ordered from rare to common for all
     names alike; a name is joined only on the first of them, up to where the
@@ -204,16 +206,29 @@ def cosine_pairs(names: DataFrame, threshold: float = 0.3, size: int = 3) -> Dat
     v = vectors(names, size)
     total = names.count()
     df = v.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.col("tf") * F.log(F.lit(float(total + 1)) / F.col("df"))
-    w = cut(v.join(df, "gram").select("name", "gram", "df", weight.alias("w")))
+    idf = F.log(F.lit(float(total + 1)) / F.col("df"))
+    w = v.join(df, "gram").select("name", "gram", "df", (F.col("tf") * idf * idf).alias("w"))
     by_name = Window.partitionBy("name")
     rest = Window.partitionBy("name").orderBy(F.asc("df"), F.asc("gram")).rowsBetween(0, Window.unboundedFollowing)
     unit = w.withColumn("w", F.col("w") / F.sqrt(F.greatest(F.sum(F.col("w") * F.col("w")).over(by_name), F.lit(1e-12))))
-    unit = cut(unit.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))))
+    unit = cut(unit.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).select("name", F.xxhash64("gram").alias("gram"), "w", "rest"))
     first = unit.where(F.col("rest") >= threshold).select("name", "gram")
     met = first.select(F.col("name").alias("a"), "gram").join(first.select(F.col("name").alias("b"), "gram"), "gram").where("a < b").select("a", "b").distinct()
-    left, right = unit.select(F.col("name").alias("a"), "gram", F.col("w").alias("wa")), unit.select(F.col("name").alias("b"), "gram", F.col("w").alias("wb"))
-    return met.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)
+    whole = unit.groupBy("name").agg(F.collect_list("gram").alias("grams"), F.collect_list("w").alias("ws"))
+    sides = [whole.select(F.col("name").alias(x), F.col("grams").alias(f"grams_{x}"), F.col("ws").alias(f"ws_{x}")) for x in "ab"]
+
+    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            cosines = []
+            for ga, wa, gb, wb in zip(*columns, strict=True):
+                of = dict(zip(ga, wa, strict=True))
+                cosines.append(sum(of.get(g, 0.0) * x for g, x in zip(gb, wb, strict=True)))
+            keep = pa.array([c >= threshold for c in cosines])
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(cosines, pa.float64()))], names=["a", "b", "cosine"])
+
+    both = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", "grams_a", "ws_a", "grams_b", "ws_b")
+    return both.mapInArrow(dot, "a string, b string, cosine double")
 
 
 def checked(pairs: DataFrame) -> DataFrame:
@@ -264,7 +279,7 @@ def average_linkage(names: DataFrame, pairs: DataFrame, threshold: float = 0.5)
         links = cut(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("total").alias("total")))
 
 
-def clusters(books: DataFrame, threshold: float = 0.3, linkage: float = 0.45) -> DataFrame:
+def clusters(books: DataFrame, threshold: float = 0.2, linkage: float = 0.45) -> DataFrame:
     """`name, cluster` of every distinct spelling in `author` (array of strings). Null and blank entries are none."""
     names = cut(books.select(F.explode("author").alias("name")).where(F.trim("name") != "").distinct())
     return average_linkage(names, checked(cosine_pairs(names, threshold)), linkage)

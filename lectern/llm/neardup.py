@@ -4,24 +4,27 @@ A record is the set of its runs of three words; two are similar if they share at
 least half of their union. All such pairs are found, by the generalised
 pigeonhole principle on the sets seen as bit vectors:
 
-- Bits that are correlated form a partition: the runs whose rarest word is the
-  same. (They are the neighbours of one word, and one edit removes them all.)
-- Of two similar records A and B, at most H = |A|/2 bits of A are missing in B,
-  so with thresholds T over A's partitions and sum(T + 1) = H + 1, there is a
-  partition in which at most T bits of A are missing: B shares s = k - T of its
-  k bits there, which is to say a subset of s bits.
+- Bits that are correlated form a partition: runs of like frequency that share
+  their anchor, the word of the least hash. (They are neighbours of one word, and
+  one edit of it removes them all.)
+- Of two similar records, at most H = |A|/3 bits of the smaller are missing in the
+  larger, and at most |B|/2 of the larger in the smaller. With thresholds T over
+  a record's partitions and sum(T + 1) = H + 1, there is a partition in which at
+  most T bits are missing: the other shares s = k - T of its k bits there, which
+  is to say a subset of s bits.
 - s is 1, 2 or 3 and belongs to the partition, so that both sides name the same
   subsets. A dynamic program chooses it by class of partition (the frequency of
   its word) such that the thresholds suffice at the least estimated number of
   candidates; the counts are estimated from a hash sample of all subsets.
 - Partitions have one order for all records, the cheapest first, and a record
-  names subsets of as many as it takes to reach H + 1. The first partition that
-  two records share a subset of is then within reach of both, so probing is a
-  join on subsets.
+  names subsets of as many as it takes to reach H + 1, as the smaller one (it
+  probes) and as the larger one. The first partition that two records share a
+  subset of is then within reach of both, so probing is a join on subsets.
 
 Records whose partitions cannot reach H + 1 under those thresholds are matched
 with s = 1 in a second probe, which misses nothing. Candidates are verified on
 the whole sets. Equal sets are matched once and carried as members of a class.
+The sets are made from the texts once and kept as a checkpoint of hashes.
 """
 
 from __future__ import annotations
@@ -36,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._util import cut
+from lectern.llm._util import cut, release
 
-#: Buckets of the frequency tables of words and of runs: what is sent to the workers has this many numbers whatever the data.
-WORD_BUCKETS, RUN_BUCKETS = 1 << 16, 1 << 20
+#: Buckets of the frequency table of runs, of the filter of keys and of the filter of subsets: what is sent to the workers has this many numbers whatever the data.
+RUN_BUCKETS, KEY_BUCKETS, WHAT_BUCKETS = 1 << 20, 1 << 20, 1 << 22
 #: Numbers of a frequency table in one row of its partial sums.
 SLICE = 1 << 15
-#: One in so many subsets (by hash) is counted to estimate candidates.
-SAMPLE = 64
+#: One in so many partitions (by anchor) is counted to estimate candidates.
+SAMPLE = 8
 #: How far the thresholds overshoot on average, so that few records fall short.
 SLACK = 1.3
 #: Classes of partitions: the frequency of their bits by powers of two.
@@ -95,44 +98,51 @@ def word_codes(records: list[list[str | None] | None]) -> tuple[np.ndarray, np.n
     return codes, owners[text], text
 
 
-def bits(records: list[list[str | None] | None], size: int, words: np.ndarray | None = None, distinct: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, bit, anchor) of the runs of `size` words in one text, distinct by record if asked for, by record and bit. The anchor is the code of the run's rarest word by the table `words`."""
+def bits(records: list[list[str | None] | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, bit, anchor) of the distinct runs of `size` words in one text, by record and bit.
+
+    A bit is a hash of 40 bits of the run, the anchor one of 16 bits of its word
+    of the least hash.
+    """
     codes, record, text = word_codes(records)
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     here = np.nonzero(text[:n] == text[size - 1 :])[0]
-    run = np.zeros(len(here), dtype=np.uint64)
+    run, anchor = np.zeros(len(here), dtype=np.uint64), codes[here]
     for i in range(size):
         run = _mix(run * _M3 + codes[here + i])
-    anchor = codes[here]
-    if words is not None:
-        often = words[(codes & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)]
-        least = often[here]
-        for i in range(1, size):
-            other, count = codes[here + i], often[here + i]
-            rarer = (count < least) | ((count == least) & (other < anchor))
-            anchor = np.where(rarer, other, anchor)
-            least = np.where(rarer, count, least)
-    owner = record[here]
-    if not distinct:
-        return owner, run, anchor
-    order = np.argsort(run)
-    order = order[np.argsort(owner[order], kind="stable")]
-    owner, run, anchor = owner[order], run[order], anchor[order]
-    first = np.ones(len(run), dtype=bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])
-    return owner[first], run[first], anchor[first]
+        anchor = np.minimum(anchor, codes[here + i])
+    both = (record[here].astype(np.uint64) << np.uint64(40)) | (run >> np.uint64(24))
+    both, first = np.unique(both, return_index=True)
+    return (both >> np.uint64(40)).astype(np.int64), both & np.uint64(2**40 - 1), anchor[first] & np.uint64(0xFFFF)
+
+
+def _pack(run: np.ndarray, anchor: np.ndarray) -> bytes:
+    """Seven bytes a bit: the bit and its anchor."""
+    return ((run << np.uint64(16)) | anchor).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, bit, anchor) of packed sets."""
+    sizes = np.array([len(x) // 7 for x in packed], dtype=np.int64)
+    wide = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
+    wide[:, :7] = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, 7)
+    both = wide.reshape(-1).view(np.uint64)
+    return np.repeat(np.arange(len(packed)), sizes), both >> np.uint64(16), both & np.uint64(0xFFFF)
 
 
 def partitions(owner: np.ndarray, run: np.ndarray, anchor: np.ndarray, level: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Bits sorted by (record, rank of class, anchor, bit), with starts, sizes and classes of the partitions.
 
     A partition holds the bits of one anchor and one class of frequency: both are
-    properties of the bit, so all records are divided alike.
+    properties of the bit, so all records are divided alike. At most 4,096 records
+    at a time, so that all of the order fits one number.
     """
     kind = level[(run & np.uint64(RUN_BUCKETS - 1)).astype(np.int64)].astype(np.int64)
-    order = np.lexsort((run, anchor, rank[kind] if rank is not None else kind, owner))
+    place = (rank[kind] if rank is not None else kind).astype(np.uint64)
+    at = owner.astype(np.uint64)
+    order = np.argsort((at << np.uint64(52)) | (place << np.uint64(46)) | (anchor << np.uint64(30)) | (run & np.uint64(2**30 - 1)), kind="stable")
     owner, run, anchor, kind = owner[order], run[order], anchor[order], kind[order]
     new = np.ones(len(run), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1]) | (kind[1:] != kind[:-1])
@@ -196,213 +206,248 @@ def allocate(units: np.ndarray, candidates: np.ndarray, needed: float, steps: in
     return out
 
 
-def _needed(sizes: np.ndarray) -> np.ndarray:
+def _needed(sizes: np.ndarray, divisor: int = 2) -> np.ndarray:
     """H + 1 by size of the set: one more than the bits that a similar set may lack; large sets take a surplus."""
-    return sizes // 2 + 1 + np.where(sizes > SKETCHED, np.minimum(SURPLUS, (sizes + 1) // 2 - 1), 0)
-
-
-def _by_record(owner: np.ndarray, count: int) -> np.ndarray:
-    return np.bincount(owner, minlength=count)
+    return sizes // divisor + 1 + np.where(sizes > SKETCHED, SURPLUS, 0)
 
 
-def tables(records: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frequency of words by bucket, of runs by bucket) over all records `id, texts`.
+def sets(records: DataFrame, size: int) -> DataFrame:
+    """`id, key, bits`: every non-empty set of `id string, texts array<string>`, packed; equal sets have equal keys. Checkpointed."""
 
-    Every task sends its sums on in slices of fixed size; they add up to tables of
-    fixed size on the driver.
-    """
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 2000):
+                batch = whole.slice(at, 2000)
+                owner, run, anchor = bits(batch.column(1).to_pylist(), size)
+                starts = np.nonzero(np.diff(owner, prepend=-1))[0]
+                ends = np.append(starts[1:], len(run))
+                mixed = _mix(run * _M2 + _M3)
+                key = _mix(np.add.reduceat(mixed, starts) ^ (np.add.reduceat(mixed * mixed, starts) * _M1)) if len(starts) else run
+                packed = [_pack(run[a:b], anchor[a:b]) for a, b in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[starts])), pa.array(key.view(np.int64)), pa.array(packed, pa.binary())], names=["id", "key", "bits"])
+
+    return cut(records.select("id", "texts").where("id IS NOT NULL").mapInArrow(run_, "id string, key long, bits binary"))
+
+
+def _batches(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(keys, unpacked sets) of `key, bits` in parts of bounded size; `once`: equal sets of a task only once."""
+    seen: set[int] = set()
+    for whole in batches:
+        for at in range(0, len(whole), 2000):
+            batch = whole.slice(at, 2000)
+            key, packed = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            if once:
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                fresh = [i for i, k in enumerate(key.tolist()) if not (k in seen or seen.add(k))]
+                key, packed = key[fresh], [packed[i] for i in fresh]
+            if len(key):
+                yield key, _unpack(packed)
+
+
+def table(found: DataFrame) -> np.ndarray:
+    """Frequency of runs by bucket, over all sets. Every task sends its sums in slices of fixed size; they add up to a table of fixed size."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs = np.zeros(WORD_BUCKETS, np.uint32), np.zeros(RUN_BUCKETS, np.uint32)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            words += np.bincount((word_codes(texts)[0] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=WORD_BUCKETS).astype(np.uint32)
-            runs += np.bincount((bits(texts, size, distinct=False)[1] & np.uint64(RUN_BUCKETS - 1)).astype(np.int64), minlength=RUN_BUCKETS).astype(np.uint32)
-        both = np.concatenate([words, runs]).reshape(-1, SLICE)
-        used = np.nonzero(both.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([both[i].tobytes() for i in used], pa.binary())], names=["slice", "sums"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
+        runs = np.zeros(RUN_BUCKETS, np.uint32)
+        for _, (_, run, _) in _batches(batches, once=True):
+            runs += np.bincount((run & np.uint64(RUN_BUCKETS - 1)).astype(np.int64), minlength=RUN_BUCKETS).astype(np.uint32)
+        slices = runs.reshape(-1, SLICE)
+        used = np.nonzero(slices.any(axis=1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([slices[i].tobytes() for i in used], pa.binary())], names=["slice", "sums"])
+
+    def add(key: tuple, part: pa.Table) -> pa.Table:
         total = np.zeros(SLICE, np.uint64)
-        for x in table.column("sums").to_pylist():
+        for x in part.column("sums").to_pylist():
             total += np.frombuffer(x, np.uint32)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
-    sums = records.select("texts").mapInArrow(partial, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect()
-    both = np.zeros((WORD_BUCKETS + RUN_BUCKETS) // SLICE * SLICE, np.uint32).reshape(-1, SLICE)
-    for r in sums:
-        both[r["slice"]] = np.frombuffer(r["sums"], np.uint32)
-    flat = both.reshape(-1)
-    return flat[:WORD_BUCKETS], flat[WORD_BUCKETS:]
+    runs = np.zeros((RUN_BUCKETS // SLICE, SLICE), np.uint32)
+    for r in found.select("key", "bits").mapInArrow(partial, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect():
+        runs[r["slice"]] = np.frombuffer(r["sums"], np.uint32)
+    return runs.reshape(-1)
 
 
-def plan(records: DataFrame, size: int, words: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def plan(found: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class of each bucket of runs, subset size of each class, rank of each class), by the dynamic program.
 
     Subsets of one bit are estimated from the table of runs, larger ones by
-    counting the sampled subsets of all records.
+    counting the subsets of sampled partitions in all records. Larger subsets are
+    used only if they promise less than half the candidates: single bits leave no
+    record short of its threshold.
     """
+    runs = table(found)
     level = np.minimum(np.log2(np.maximum(runs, 1)), CLASSES - 1).astype(np.uint8)
 
+    def rows(kind, s, what, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(s, pa.int32()), pa.array(what, pa.int64()), pa.array(n, pa.float64())], names=["kind", "s", "what", "n"])
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, needed = np.zeros((CLASSES, 4)), 0
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            owner, run, _, starts, sizes, kind = partitions(*bits(texts, size, words), level)
-            needed += int(_needed(_by_record(owner, len(texts))).sum())
+        for key, unpacked in _batches(batches, once=True):
+            owner, run, anchor, starts, sizes, kind = partitions(*unpacked, level)
+            sampled = (sizes <= 24) & ((anchor[starts] & np.uint64(SAMPLE - 1)) == 0)
+            needed += int(_needed(np.bincount(owner, minlength=len(key))).sum())
             for s in (1, 2, 3):
-                np.add.at(units[:, s], kind, np.maximum(sizes - s + 1, 0))
+                units[:, s] += np.bincount(kind, weights=np.maximum(sizes - s + 1, 0), minlength=CLASSES)
                 if s > 1:
-                    where, what = subsets(run, starts, sizes, np.where(sizes <= 24, s, 0))
-                    some = (what & np.uint64(SAMPLE - 1)) == 0
-                    where, what = where[some], what[some]
-                    yield _rows(kind[where], np.full(len(what), s), what.view(np.int64), np.ones(len(what)))
-        yield _rows(np.repeat(np.arange(CLASSES), 3), np.tile([1, 2, 3], CLASSES), np.zeros(3 * CLASSES, np.int64), units[:, 1:].reshape(-1))
-        yield _rows(np.array([-1]), np.array([0]), np.zeros(1, np.int64), np.array([float(needed)]))
-
-    def _rows(kind, s, what, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(s, pa.int32()), pa.array(what, pa.int64()), pa.array(n, pa.float64())], names=["kind", "s", "what", "n"])
-
-    sums = records.select("texts").mapInArrow(measure, "kind int, s int, what long, n double").groupBy("kind", "s", "what").agg(F.sum("n").alias("n"))
-    found = sums.groupBy("kind", "s").agg(F.sum(F.when(F.col("what") == 0, F.col("n"))).alias("units"), F.sum(F.when(F.col("what") != 0, F.col("n") * (F.col("n") - 1) / 2)).alias("pairs")).collect()
-    units, candidates, needed = np.zeros((CLASSES, 4)), np.zeros((CLASSES, 4)), 0.0
-    for r in found:
+                    where, what = subsets(run, starts, sizes, np.where(sampled, s, 0))
+                    yield rows(kind[where], np.full(len(what), s), what.view(np.int64), np.ones(len(what)))
+        yield rows(np.repeat(np.arange(CLASSES), 3), np.tile([1, 2, 3], CLASSES), np.zeros(3 * CLASSES, np.int64), units[:, 1:].reshape(-1))
+        yield rows(np.array([-1]), np.array([0]), np.zeros(1, np.int64), np.array([float(needed)]))
+
+    sums = found.select("key", "bits").mapInArrow(measure, "kind int, s int, what long, n double").groupBy("kind", "s", "what").agg(F.sum("n").alias("n"))
+    units, expected, needed = np.zeros((CLASSES, 4)), np.zeros((CLASSES, 4)), 0.0
+    for r in sums.groupBy("kind", "s").agg(F.sum(F.when(F.col("what") == 0, F.col("n"))).alias("units"), F.sum(F.when(F.col("what") != 0, F.col("n") * (F.col("n") - 1) / 2)).alias("pairs")).collect():
         if r.kind < 0:
             needed = r.units
         else:
             units[r.kind, r.s] = r.units or 0
-            candidates[r.kind, r.s] = SAMPLE * (r.pairs or 0)
+            expected[r.kind, r.s] = SAMPLE * (r.pairs or 0)
     often = runs.astype(np.float64)
-    candidates[:, 1] = np.bincount(level, weights=often * (often - 1) / 2, minlength=CLASSES)
-    candidates[:, 2:] = np.maximum(candidates[:, 2:], candidates[:, 1:2] * 1e-3)  # what the sample missed
-    mode = allocate(units, candidates, needed * SLACK)
-    price = np.where(mode > 0, candidates[np.arange(CLASSES), mode] / np.maximum(units[np.arange(CLASSES), mode], 1), np.inf)
+    expected[:, 1] = np.bincount(level, weights=often * (often - 1) / 2, minlength=CLASSES)
+    expected[:, 2:] = np.maximum(expected[:, 2:], expected[:, 1:2] * 1e-3)  # what the sample missed
+    mode = allocate(units, expected, needed * SLACK)
+    spent = np.minimum(np.maximum(needed - (np.cumsum(units[:, 1]) - units[:, 1]), 0), units[:, 1])
+    plain = (expected[:, 1] * spent / np.maximum(units[:, 1], 1)).sum()
+    if 2 * expected[np.arange(CLASSES), mode][mode > 0].sum() > plain:
+        return level, np.ones(CLASSES, np.int64), np.arange(CLASSES)
+    price = np.where(mode > 0, expected[np.arange(CLASSES), mode] / np.maximum(units[np.arange(CLASSES), mode], 1), np.inf)
     return level, mode, np.argsort(np.argsort(price, kind="stable"), kind="stable")
 
 
-#: Of a set: its key, the number of its bits, a sketch of 128 bits, and the subsets it names.
-_NAMED = "key long, n int, s1 long, s2 long, short boolean, what long"
-
+def named(found: DataFrame, level: np.ndarray, mode: np.ndarray, rank: np.ndarray, short: bool = False, among: np.ndarray | None = None) -> DataFrame:
+    """`what, key, n, s1, s2`: the subsets a set names, with its size (negative where it does not do so as the smaller one) and sketch.
 
-def named(records: DataFrame, size: int, words: np.ndarray, level: np.ndarray, mode: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """A row per distinct set and subset it names. `short` sets cannot reach their threshold."""
+    With `short`, only the sets that cannot reach their threshold, and by single
+    bits. With `among`, single bits of all sets, as far as the filter has them.
+    """
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            owner, run, anchor = bits(texts, size, words)
-            if not len(run):
-                continue
-            key, s1, s2 = _identity(owner, run, len(texts))
-            owner, run, anchor, starts, sizes, kind = partitions(owner, run, anchor, level, rank)
-            count = _by_record(owner, len(texts))
-            need = _needed(count)
-            s, mine = mode[kind], owner[starts]
+        for key, (owner, run, anchor) in _batches(batches, once=True):
+            many = len(key)
+            count = np.bincount(owner, minlength=many)
+            starts = np.cumsum(count) - count
+            mixed = _mix(run * _M2 + _M3)
+            place = np.uint64(1) << (mixed >> np.uint64(58))
+            upper = (mixed >> np.uint64(57)) & np.uint64(1)
+            sketched = np.where(count <= SKETCHED, np.uint64(2**64 - 1), np.uint64(0))
+            s1 = np.bitwise_or.reduceat(np.where(upper == 0, place, np.uint64(0)), starts) & sketched
+            s2 = np.bitwise_or.reduceat(np.where(upper == 1, place, np.uint64(0)), starts) & sketched
+            modes, ranks = mode, rank
+            if short or among is not None:
+                if short:
+                    _, _, _, _, sizes, kind, mine = _placed(owner, run, anchor, level, rank)
+                    units = np.where(mode[kind] > 0, np.maximum(sizes - mode[kind] + 1, 0), 0)
+                    lacking = np.bincount(mine, weights=units, minlength=many) < _needed(count)
+                    keep = lacking[owner]
+                    owner, run, anchor = owner[keep], run[keep], anchor[keep]
+                    if not len(owner):
+                        continue
+                modes, ranks = np.ones(CLASSES, np.int64), np.arange(CLASSES)
+            run, _, _, starts, sizes, kind, mine = _placed(owner, run, anchor, level, ranks)
+            s = modes[kind]
             units = np.where(s > 0, np.maximum(sizes - s + 1, 0), 0)
-            total = np.bincount(mine, weights=units, minlength=len(texts)).astype(np.int64)
             before = np.cumsum(units) - units
-            first = np.searchsorted(mine, np.arange(len(texts)))
+            first = np.searchsorted(mine, np.arange(many))
             reach = before - before[np.minimum(first, len(before) - 1)][mine]
-            where, what = subsets(run, starts, sizes, np.where(reach < need[mine], s, 0))
+            where, what = subsets(run, starts, sizes, np.where(reach < _needed(count)[mine], s, 0))
+            if among is not None:
+                some = among[(what & np.uint64(WHAT_BUCKETS - 1)).astype(np.int64)]
+                where, what = where[some], what[some]
             of = mine[where]
-            short = total < need
-            # a set that names nothing still tells that it is short
-            none = np.nonzero(short & (count > 0) & (np.bincount(of, minlength=len(texts)) == 0))[0]
-            of, what = np.concatenate([of, none]), np.concatenate([what, np.zeros(len(none), np.uint64)])
+            n = np.where(reach[where] < _needed(count, 3)[of], count[of], -count[of])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[of]), pa.array(count[of], pa.int32()), pa.array(s1[of]), pa.array(s2[of]), pa.array(short[of]), pa.array(what.view(np.int64))], names=["key", "n", "s1", "s2", "short", "what"]
+                [pa.array((what & np.uint64(2**40 - 1)).view(np.int64)), pa.array(key[of]), pa.array(n, pa.int32()), pa.array(s1[of].view(np.int64)), pa.array(s2[of].view(np.int64))], names=["what", "key", "n", "s1", "s2"]
             )
 
-    return records.select("texts").mapInArrow(run_, _NAMED).groupBy("what", "key").agg(*[F.first(c).alias(c) for c in ("n", "s1", "s2", "short")])
-
-
-def single(records: DataFrame, size: int, words: np.ndarray, level: np.ndarray) -> DataFrame:
-    """Like `named` with subsets of one bit, the rarest first, for the sets that fall short and those they meet."""
-    return named(records, size, words, level, np.ones(CLASSES, np.int64), np.arange(CLASSES))
-
-
-def _identity(owner: np.ndarray, run: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key of the set, two words of its bitmap sketch) by record."""
-    starts = np.nonzero(np.diff(owner, prepend=-1))[0]
-    key, s1, s2 = (np.zeros(count, np.uint64) for _ in range(3))
-    at = owner[starts]
-    mixed = _mix(run * _M2 + _M3)
-    key[at] = _mix(np.add.reduceat(mixed, starts) ^ (np.add.reduceat(mixed * mixed, starts) * _M1))
-    place = np.uint64(1) << (mixed >> np.uint64(58))
-    upper = (mixed >> np.uint64(57)) & np.uint64(1)
-    s1[at] = np.bitwise_or.reduceat(np.where(upper == 0, place, np.uint64(0)), starts)
-    s2[at] = np.bitwise_or.reduceat(np.where(upper == 1, place, np.uint64(0)), starts)
-    return key.view(np.int64), s1.view(np.int64), s2.view(np.int64)
+    return found.select("key", "bits").mapInArrow(run_, "what long, key long, n int, s1 long, s2 long")
 
 
-def sets(records: DataFrame, size: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """`id, key, bits`: the key of every non-empty set; the bits only where the key's bucket is `wanted` (else null)."""
-
-    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            owner, run, _ = bits(texts, size)
-            if not len(run):
-                continue
-            key = _identity(owner, run, len(texts))[0]
-            count = _by_record(owner, len(texts))
-            have = np.nonzero(count)[0]
-            ends = np.cumsum(count)
-            wants = wanted[(key & (len(wanted) - 1)).astype(np.int64)] if wanted is not None else np.zeros(len(texts), bool)
-            values = run.view(np.int64)
-            lists = [values[ends[i] - count[i] : ends[i]] if wants[i] else None for i in have]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(have)), pa.array(key[have]), pa.array(lists, pa.list_(pa.int64()))], names=["id", "key", "bits"])
-
-    return records.select("id", "texts").mapInArrow(run_, "id string, key long, bits array<long>")
+def _placed(owner: np.ndarray, run: np.ndarray, anchor: np.ndarray, level: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(bits, records, anchors, starts, sizes, classes, record of each partition)."""
+    owner, run, anchor, starts, sizes, kind = partitions(owner, run, anchor, level, rank)
+    return run, owner, anchor, starts, sizes, kind, owner[starts]
 
 
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of keys (a < b) of the sets in `a` and `b` that name a common subset and may be similar.
+    """Pairs of keys (a < b) of a set that names a subset as the smaller one in `a` and one not smaller in `b` that names it too, and that may be similar.
 
-    Sizes must be within a factor of two. Small sets must have sketches that
-    differ in no more bits than similar sets may, (|A| + |B|) / 3; large ones
-    must share more subsets than the surplus.
+    The larger must be within twice the smaller. Small sets must have sketches
+    that differ in no more bits than similar sets may, (|A| + |B|) / 3; large ones
+    must share more subsets than the surplus. Every condition is on both sides,
+    so that a join of a table with itself shuffles it once.
     """
-    b = b.select("what", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "s1", "s2", "short")])
+    b = b.select("what", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "s1", "s2")])
     differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_b")))
-    fit = (F.col("n") <= 2 * F.col("n_b")) & (F.col("n_b") <= 2 * F.col("n")) & (differ * 3 <= F.col("n") + F.col("n_b"))
-    joined = a.where("what <> 0").join(b.where("what <> 0"), "what").where(fit & (F.col("key") != F.col("key_b")))
-    low, high = F.least("key", "key_b"), F.greatest("key", "key_b")
-    pairs = joined.select(low.alias("a"), high.alias("b"), (F.least("n", "n_b") > SKETCHED).alias("large")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("large").alias("large"))
+    n, n_b = F.abs("n"), F.abs("n_b")
+    smaller = F.pmod(F.col("n") - 1, F.lit(1 << 30)) < n_b  # no negative n, and n <= n_b
+    once = (n < n_b) | (F.col("key") < F.col("key_b"))
+    fit = smaller & once & (F.col("key") != F.col("key_b")) & (n_b <= 2 * n) & ((n_b > F.lit(SKETCHED) + 0 * n) | (differ * 3 <= n + n_b))
+    joined = a.join(b, "what").where(fit)
+    pairs = joined.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b"), (n > SKETCHED).alias("large")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("large").alias("large"))
     return pairs.where(~F.col("large") | (F.col("shared") > SURPLUS)).select("a", "b")
 
 
-def similar_sets(records: DataFrame, size: int = 3, share: tuple[int, int] = (1, 2)) -> tuple[DataFrame, DataFrame]:
-    """(pairs of keys of different similar sets with `inter` and `total`, `id, key` of all non-empty sets).
+def _filter(values: DataFrame, buckets: int) -> np.ndarray:
+    """A bitmap of fixed size of the buckets of the one column of `values`."""
+    out = np.zeros(buckets, dtype=bool)
+    at = F.col(values.columns[0]).bitwiseAND(F.lit(buckets - 1)).cast("int")
+    out[[r[0] for r in values.select(at).distinct().collect()]] = True
+    return out
+
+
+def similar_sets(records: DataFrame, size: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(pairs of keys of different sets that share half their union or more, with `inter` and `total`; `id, key` of all non-empty sets).
 
     `records` has `id string, texts array<string>`; a record's set is the union
-    over its texts. `size` words make a run. Sets are similar at an overlap of
-    half their union, the only share the thresholds are made for.
+    over its texts of their runs of `size` words.
     """
-    if share != (1, 2):
-        raise ValueError("the thresholds are those of one half")
-    words, runs = tables(records, size)
-    level, mode, rank = plan(records, size, words, runs)
-    all_named = named(records, size, words, level, mode, rank)
-    found = candidates(all_named, all_named.where("NOT short"))
-    found = cut(found.distinct())
-    short = cut(all_named.where("short").select("key").distinct())
-    if not short.isEmpty():
-        ones = single(records, size, words, level)
-        few = ones.join(short, "key", "left_semi")
-        met = ones.join(few.select("what").distinct(), "what", "left_semi")
-        found = cut(found.unionByName(candidates(few, met)).distinct())
-    bucket = WORD_BUCKETS * 4  # a filter of fixed size on the keys whose sets must be compared
-    wanted = np.zeros(bucket, dtype=bool)
-    keys = found.select(F.explode(F.array("a", "b")).alias("key"))
-    for r in keys.select((F.col("key").bitwiseAND(F.lit(bucket - 1))).cast("int").alias("at")).distinct().collect():
-        wanted[r["at"]] = True
-    members = sets(records, size, wanted)
-    whole = members.where("bits IS NOT NULL").select("key", "bits").dropDuplicates(["key"])
-    compared = found.join(whole.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a").join(whole.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b")
-    inter = F.size(F.array_intersect("bits_a", "bits_b"))
-    verified = compared.select("a", "b", inter.alias("inter"), (F.size("bits_a") + F.size("bits_b")).alias("sum")).where(F.col("inter") * 3 >= F.col("sum"))
-    return cut(verified.select("a", "b", "inter", (F.col("sum") - F.col("inter")).alias("total"))), members.select("id", "key").distinct()
+    found = sets(records, size)
+    level, mode, rank = plan(found)
+    ways = named(found, level, mode, rank)
+    pairs = cut(candidates(ways, ways))
+    del ways
+    if (mode != 1).any():
+        short = cut(named(found, level, mode, rank, short=True))
+        if not short.isEmpty():
+            met = named(found, level, mode, rank, among=_filter(short.select("what"), WHAT_BUCKETS))
+            pairs = cut(pairs.unionByName(candidates(short, met)).unionByName(candidates(met, short)).distinct())
+    release(records.sparkSession)  # the named subsets
+    wanted = _filter(pairs.select(F.explode(F.array("a", "b")).alias("key")), KEY_BUCKETS)
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = wanted[batch.column(0).to_numpy(zero_copy_only=False) & (KEY_BUCKETS - 1)]
+            some = batch.filter(pa.array(mask))
+            short = [np.frombuffer(x, dtype=np.uint8).reshape(-1, 7)[:, 2:].tobytes() for x in some.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(short, pa.binary())], names=["key", "bits"])
+
+    def wide(packed: bytes) -> np.ndarray:
+        out = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
+        out[:, :5] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
+        return out.reshape(-1).view(np.uint64)
+
+    whole = found.select("key", "bits").mapInArrow(needed, "key long, bits binary").dropDuplicates(["key"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared, sums = [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                p, q = wide(x), wide(y)
+                shared.append(len(np.intersect1d(p, q, assume_unique=True)))
+                sums.append(len(p) + len(q))
+            inter = np.array(shared, dtype=np.int64)
+            total = np.array(sums, dtype=np.int64) - inter
+            keep = pa.array(2 * inter >= total)
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(inter), pa.array(total))], names=["a", "b", "inter", "total"])
+
+    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a").join(whole.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b")
+    verified = both.select("a", "b", "bits_a", "bits_b").mapInArrow(compare, "a long, b long, inter long, total long")
+    verified, members = cut(verified), cut(found.select("id", "key").distinct())
+    del found, pairs, whole, both
+    release(records.sparkSession)
+    return verified, members
 
 
 def similar_pairs(records: DataFrame, size: int = 3) -> DataFrame:
@@ -413,7 +458,7 @@ def similar_pairs(records: DataFrame, size: int = 3) -> DataFrame:
     never shuffled for that. A class of equal sets is expanded into
     its pairs because the pairs are what is asked for.
     """
-    pairs, members = similar_sets(records.where("id IS NOT NULL"), size)
+    pairs, members = similar_sets(records, size)
     a, b = members.select(F.col("id").alias("x"), F.col("key").alias("a")), members.select(F.col("id").alias("y"), F.col("key").alias("b"))
     between = pairs.join(a, "a").join(b, "b").select("x", "y")
     many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")

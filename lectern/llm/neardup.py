@@ -378,14 +378,14 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     must share more subsets than the surplus. Every condition is on both sides,
     so that a join of a table with itself shuffles it once.
     """
-    b = b.select("what", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "s1", "s2")])
-    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_b")))
-    n, n_b = F.abs("n"), F.abs("n_b")
-    smaller = F.pmod(F.col("n") - 1, F.lit(1 << 30)) < n_b  # no negative n, and n <= n_b
-    once = (n < n_b) | (F.col("key") < F.col("key_b"))
-    fit = smaller & once & (F.col("key") != F.col("key_b")) & (n_b <= 2 * n) & ((n_b > F.lit(SKETCHED) + 0 * n) | (differ * 3 <= n + n_b))
-    joined = a.join(b, "what").where(fit)
-    pairs = joined.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b"), (n > SKETCHED).alias("large")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("large").alias("large"))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    differ = F.bit_count(x("s1").bitwiseXOR(y("s1"))) + F.bit_count(x("s2").bitwiseXOR(y("s2")))
+    n, n_b = F.abs(x("n")), F.abs(y("n"))
+    smaller = F.pmod(x("n") - 1, F.lit(1 << 30)) < n_b  # no negative n, and n <= n_b
+    once = (n < n_b) | (x("key") < y("key"))
+    fit = smaller & once & (x("key") != y("key")) & (n_b <= 2 * n) & ((n_b > F.lit(SKETCHED) + 0 * n) | (differ * 3 <= n + n_b))
+    joined = a.alias("x").join(b.alias("y"), (x("what") == y("what")) & fit)
+    pairs = joined.select(F.least(x("key"), y("key")).alias("a"), F.greatest(x("key"), y("key")).alias("b"), (n > SKETCHED).alias("large")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("large").alias("large"))
     return pairs.where(~F.col("large") | (F.col("shared") > SURPLUS)).select("a", "b")
 
 

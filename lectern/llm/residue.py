@@ -188,8 +188,8 @@ def kind_of(text: str | None, words_per_placeholder: float = 10.0, filler_share:
     # A message has an anchor in at most LONGEST_MESSAGE words, so fewer anchors than this rule the share out.
     if sum(map(_ANCHORS.__contains__, words)) < message_share * len(words) / LONGEST_MESSAGE:
         return None
-    sentences = [(x, x.split()) for x in _SENTENCE_END.split(lower)]
-    least = message_share * sum(len(x) for x, _ in sentences)
+    sentences = [(x, x.split()) for x in _SENTENCE_END.split(_SET_ASIDE.sub(" ", lower))]  # a quoted message is a subject
+    least = message_share * len(lower)
     may = [x for x, parts in sentences if len(parts) <= LONGEST_MESSAGE and not _ANCHORS.isdisjoint(parts)]
     if not may or sum(map(len, may)) < least:
         return None

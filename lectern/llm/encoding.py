@@ -31,7 +31,7 @@ SINGLES = {"en": "", "fr": "àÀ", "de": "", "es": "", "pt": "àéÀÉ"}
 MISREAD_UTF8 = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850")
 SWAPPED = (("latin_1", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"))
 #: What a chain costs, in bytes of compressed text.
-UTF8_COST, SWAP_COST = 2, 2
+UTF8_COST, SWAP_COST = 2, 1
 #: Words of a language's dictionary at most, so what is sent to the workers is bounded: five languages of a few ten thousand bytes.
 DICTIONARY_WORDS = 3000
 
@@ -119,8 +119,7 @@ def well_formed(lang: str) -> str:
     low = "a-z" + ALPHABETS[lang]
     up = "A-Z" + "".join(c for c in ALPHABETS[lang].upper() if len(c) == 1 and ord(c) > 127)
     word = f"(?:[{up}]?[{low}]+|[{up}]+|[a-z]+[’'])"
-    some = "[^a-zA-Z]" if SINGLES[lang] else "(?!)"
-    lone = f"(?![{re.escape(_OPEN)}]*{some}[{re.escape(_CLOSE)}]*$)" if not SINGLES[lang] else f"(?![{re.escape(_OPEN)}]*[^a-zA-Z{SINGLES[lang]}—–«»“”„‘’¿¡][{re.escape(_CLOSE)}]*$)"
+    lone = f"(?![{re.escape(_OPEN)}]*[^a-zA-Z{SINGLES[lang]}—–«»“”„‘’¿¡][{re.escape(_CLOSE)}]*$)"
     quote = re.escape(_OPEN), re.escape(_CLOSE)
     return f"^(?:{lone}[{quote[0]}]*{word}(?:[’'-]{word})*[{quote[1]}]*|[{quote[0]}{quote[1]}]+)$"
 

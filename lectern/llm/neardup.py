@@ -53,8 +53,8 @@ SLACK = 1.3
 CLASSES = 40
 #: Records of more bits are compared by the number of shared subsets, smaller ones by their sketches.
 SKETCHED = 150
-#: Surplus units of large records: similar ones share more subsets than this.
-SURPLUS = 20
+#: Surplus units of small and large records: similar ones share more subsets than this, as far as they have so many.
+FEW, SURPLUS = 4, 20
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -207,8 +207,8 @@ def allocate(units: np.ndarray, candidates: np.ndarray, needed: float, steps: in
 
 
 def _needed(sizes: np.ndarray, divisor: int = 2) -> np.ndarray:
-    """H + 1 by size of the set: one more than the bits that a similar set may lack; large sets take a surplus."""
-    return sizes // divisor + 1 + np.where(sizes > SKETCHED, SURPLUS, 0)
+    """Units by size of the set: one more than the bits that a similar set may lack and a surplus, but no more than there are bits."""
+    return np.minimum(sizes // divisor + 1 + np.where(sizes > SKETCHED, SURPLUS, FEW), sizes)
 
 
 def sets(records: DataFrame, size: int) -> DataFrame:
@@ -374,8 +374,9 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of keys (a < b) of a set that names a subset as the smaller one in `a` and one not smaller in `b` that names it too, and that may be similar.
 
     The larger must be within twice the smaller. Small sets must have sketches
-    that differ in no more bits than similar sets may, (|A| + |B|) / 3; large ones
-    must share more subsets than the surplus. Every condition is on both sides,
+    that differ in no more bits than similar sets may, (|A| + |B|) / 3; and all
+    must share more subsets than the surplus, or as many bits as similar sets of
+    their sizes have in common, (|A| + |B|) / 3, where that is less. Every condition is on both sides,
     so that a join of a table with itself shuffles it once.
     """
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
@@ -385,8 +386,9 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     once = (n < n_b) | (x("key") < y("key"))
     fit = smaller & once & (x("key") != y("key")) & (n_b <= 2 * n) & ((n_b > F.lit(SKETCHED) + 0 * n) | (differ * 3 <= n + n_b))
     joined = a.alias("x").join(b.alias("y"), (x("what") == y("what")) & fit)
-    pairs = joined.select(F.least(x("key"), y("key")).alias("a"), F.greatest(x("key"), y("key")).alias("b"), (n > SKETCHED).alias("large")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("large").alias("large"))
-    return pairs.where(~F.col("large") | (F.col("shared") > SURPLUS)).select("a", "b")
+    shares = F.least(F.when(n > SKETCHED, SURPLUS + 1).otherwise(FEW + 1), F.ceil((n + n_b) / 3)).cast("int")
+    pairs = joined.select(F.least(x("key"), y("key")).alias("a"), F.greatest(x("key"), y("key")).alias("b"), shares.alias("shares")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("shares").alias("shares"))
+    return pairs.where("shared >= shares").select("a", "b")
 
 
 def _filter(values: DataFrame, buckets: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from lectern.llm._util import norm_lang
 
 #: Non-ASCII letters of each language, lower case (fixed values).
-ALPHABETS = {"en": "éèêëïîôöüäàâçñãœáíóú", "fr": "àâæçéèêëîïôœùûüÿ", "de": "äöüß", "es": "áéíñóúü", "pt": "áàâãçéêíóôõú"}
+ALPHABETS = {"en": "éèêëïîôöüäàâçñãœ", "fr": "àâæçéèêëîïôœùûüÿ", "de": "äöüß", "es": "áéíñóúü", "pt": "áàâãçéêíóôõú"}
 #: Words of one accented letter, by language (fixed values).
 SINGLES = {"en": "", "fr": "àÀ", "de": "", "es": "", "pt": "àéÀÉ"}
 #: Encodings that UTF-8 text gets read in, and pairs (read in, written in) of one byte a character (fixed values).

@@ -17,6 +17,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,14 +219,17 @@ def cosine_pairs(names: DataFrame, threshold: float = 0.2, size: int = 3) -> Dat
     sides = [whole.select(F.col("name").alias(x), F.col("grams").alias(f"grams_{x}"), F.col("ws").alias(f"ws_{x}")) for x in "ab"]
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keyed(grams: pa.ListArray, weights: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            pair = np.repeat(np.arange(len(grams), dtype=np.uint64), np.diff(grams.offsets.to_numpy()))
+            key = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ (pair * np.uint64(0x9E3779B97F4A7C15))
+            return key, pair.astype(np.int64), weights.flatten().to_numpy(zero_copy_only=False)
+
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            cosines = []
-            for ga, wa, gb, wb in zip(*columns, strict=True):
-                of = dict(zip(ga, wa, strict=True))
-                cosines.append(sum(of.get(g, 0.0) * x for g, x in zip(gb, wb, strict=True)))
-            keep = pa.array([c >= threshold for c in cosines])
-            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(cosines, pa.float64()))], names=["a", "b", "cosine"])
+            (ka, pair, wa), (kb, _, wb) = keyed(batch.column(2), batch.column(3)), keyed(batch.column(4), batch.column(5))
+            _, i, j = np.intersect1d(ka, kb, return_indices=True)
+            cosines = np.bincount(pair[i], weights=wa[i] * wb[j], minlength=batch.num_rows)
+            keep = pa.array(cosines >= threshold)
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(cosines))], names=["a", "b", "cosine"])
 
     both = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", "grams_a", "ws_a", "grams_b", "ws_b")
     return both.mapInArrow(dot, "a string, b string, cosine double")

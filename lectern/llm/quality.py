@@ -100,7 +100,7 @@ def scores(stats: DataFrame) -> DataFrame:
 
 
 def unnatural() -> Column:
-    """The exact check on the statistics of a candidate: not the look of prose.
+    """The exact check on the statistics of a document: not the look of prose.
 
     Prose has common words all through, sentences that end with punctuation or
     lines of many words, few digits and signs, and does not repeat itself.
@@ -112,12 +112,17 @@ def unnatural() -> Column:
     return poor | table | listed | repeated
 
 
-def not_prose(documents: DataFrame, least_score: float = 6.0) -> DataFrame:
-    """`doc_id` of the documents that are lists, tables or junk: an outlier score of `least_score` and a look other than prose's.
+def not_prose(documents: DataFrame, least_score: float = 0.0) -> DataFrame:
+    """`doc_id` of the documents that are lists, tables or junk: a look other than prose's.
 
-    Null, empty and blank texts and residue (problem 10) are none; repeated rows of
-    a document count once.
+    The look alone decides. Scores fall with the number of documents that share
+    a value, so a score asked for loses copies of an outlier and small languages;
+    a `least_score` above 0 is for callers who want rare outliers only, and ranks
+    are made for it alone. Null, empty and blank texts and residue (problem 10)
+    are none; repeated rows of a document count once.
     """
     content = classify(documents.select("doc_id", "text", "lang")).where("residue IS NULL").drop("residue").where(F.trim("text") != "")
-    stats = cut(statistics(content).dropDuplicates(["doc_id"]))
-    return scores(stats).where(F.col("score") >= least_score).where(unnatural()).select("doc_id")
+    stats = statistics(content).dropDuplicates(["doc_id"])
+    if least_score > 0:
+        stats = scores(cut(stats)).where(F.col("score") >= least_score)
+    return stats.where("n_words > 0").where(unnatural()).select("doc_id")

@@ -200,6 +200,14 @@ def test_quality(spark):
     assert quality.not_prose(df.limit(0)).count() == 0
 
 
+def test_frequent_outliers_and_small_languages_are_found(spark):
+    prose = "The question, then, is whether the readers of a book can follow it to the end.\nIt is not the first of them, and it was kept in the hall."
+    table = "| a | 1 |\n| b | 22 |\n| c | 3 |"
+    rows = [(i, table, "en") for i in range(30)] + [(30, table, "de"), (31, table, "Englisch"), (32, "\t\u00a0\n", "en")] + [(100 + i, prose + f" And this is number {i} of the row.", "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in quality.not_prose(df).collect()) == list(range(32))
+
+
 def test_ranks_are_exact(spark):
     rng = random.Random(3)
     rows = [("en", rng.randrange(5)) for _ in range(300)] + [("de", rng.randrange(100)) for _ in range(50)]

@@ -283,6 +283,17 @@ def test_scan_repair(spark):
     assert [x.rec_key for x in got] == ["0"] and scans.vocabulary(df.limit(0)) == {}
 
 
+def test_furniture_in_roman_numerals_and_mixed_case():
+    r = scans.Repairer({w: 1000 for w in "the readers of an archive measure their margins become".split()})
+    head, tail = "the readers of the archive be-", "come the margins of the archive"
+    for line in ("xxii  Annals of the Reading Engine", "Annals of the Reading Engine | xvi", "xii", "- xii -", "XIV", "12  Annals of the Reading Engine", "Annals of the Engine   7"):
+        assert "furniture" in r.marks(f"{head}\n{line}\n{tail}"), line
+        assert r.repair(f"{head}\n{line}\n{tail}") == "the readers of the archive become the margins of the archive", line
+    prose = "the readers of the archive measure their margins."
+    for line in ("IV  The Margins of the Archive", "12  The Margins of the Archive", "mix", "v", "civil"):
+        assert "furniture" not in r.marks(f"{prose}\n{line}\nThe readers of the archive measure"), line
+
+
 def test_candidates_are_complete():
     words = {"modern": 9, "margin": 9, "dim": 9, "clean": 9}
     lexicon = scans.Lexicon(words)

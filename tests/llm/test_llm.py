@@ -294,6 +294,13 @@ def test_furniture_in_roman_numerals_and_mixed_case():
         assert "furniture" not in r.marks(f"{prose}\n{line}\nThe readers of the archive measure"), line
 
 
+def test_frequent_misreadings_are_repaired():
+    r = scans.Repairer({"that": 90000, "thaf": 200, "archive": 25000, "arcbive": 47, "guest": 300, "quest": 36, "holds": 900})
+    assert r.marks("thaf arcbive holds") == "misread"
+    assert r.repair("thaf arcbive holds arcbivc") == "that archive holds archive"
+    assert r.marks("that quest holds") == "" and r.repair("that quest holds") == "that quest holds"
+
+
 def test_candidates_are_complete():
     words = {"modern": 9, "margin": 9, "dim": 9, "clean": 9}
     lexicon = scans.Lexicon(words)

@@ -313,6 +313,14 @@ def test_candidates_are_complete():
                     assert bad in words or true in [w for _, w in lexicon.candidates(bad, 1)], (bad, true)
 
 
+def test_rare_words_are_in_the_vocabulary(spark):
+    df = texts(spark, ["the " * 6000] * 100 + ["an intermethod of the", "intermethod", "once"])
+    words = scans.vocabulary(df)
+    assert words == {"the": 600_001, "intermethod": 2} and scans.vocabulary(df, most=1) == {"the": 600_001}
+    r = scans.Repairer(words)
+    assert r.marks("the intermeth0d") == "misread" and r.repair("the intermeth0d of the inter-\nmethod") == "the intermethod of the intermethod"
+
+
 def test_word_counts(spark):
     df = texts(spark, ["A a, b.", None, "", "b’s (c) c"])
     assert {r.word: r.n for r in scans.word_counts(df).collect()} == {"a": 2, "b": 1, "b’s": 1, "c": 2}

@@ -148,9 +148,9 @@ MESSAGES = (
     r"\berro interno\b",
     r"\bsessão\b.*\bexpir",
 )
-#: Words of which every message above has one (fixed values): what has none needs no pattern.
+#: Words of which every message above has one, if not a status number (fixed values): what has none needs no pattern.
 ANCHORS = (
-    "javascript script scripts cookies blocker browser loading verification reference seconds reload back later contact wait sign log persists session requests http error "
+    "javascript javascripts script scripts cookies blocker adblocker again browser loading verification reference seconds reload back later contact wait sign log persists session requests http error "
     "forbidden found gateway unauthorized server service available time bad unable connect connection unexpected permission denied wrong oops menu "
     "not page chapter file document title internal replace pending follow come supplied click copy here placeholder sample dummy relleno blindtext platzhaltertext faux provisório simulado venir folgt vir pendiente "
     "aktivieren erforderlich deaktiviert skripte geladen laden berechtigung versuchen angeforderte seite fehler fehlercode verweigert serverfehler sitzung "
@@ -169,7 +169,20 @@ _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: A sentence of more words is no site's message.
 LONGEST_MESSAGE = 30
 _FILLER = frozenset(x + end for x in FILLER for end in ("", ".", ",", "!", "?", ";", ":"))
-_ANCHORS = frozenset(x + end for x in ANCHORS for end in ("", ".", ",", "!", "?", ";", ":", "...", "…", "(", ")", "]"))
+_ANCHORS = frozenset([*ANCHORS, *map(str, range(400, 600))])
+
+
+class _Anchored(dict):
+    """Anchors in a run of non-blanks, signs around and inside it aside; what was asked for is remembered."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        n = self[token] = sum(map(_ANCHORS.__contains__, _WORD.findall(token)))
+        return n
+
+
+_anchored = _Anchored()
 
 
 def kind_of(text: str | None, words_per_placeholder: float = 10.0, filler_share: float = 0.6, message_share: float = 0.5) -> str | None:
@@ -186,11 +199,11 @@ def kind_of(text: str | None, words_per_placeholder: float = 10.0, filler_share:
     if sum(map(_FILLER.__contains__, words)) >= filler_share * len(words):
         return "filler"
     # A message has an anchor in at most LONGEST_MESSAGE words, so fewer anchors than this rule the share out.
-    if sum(map(_ANCHORS.__contains__, words)) < message_share * len(words) / LONGEST_MESSAGE:
+    if sum(map(_anchored.__getitem__, words)) < message_share * len(words) / LONGEST_MESSAGE:
         return None
     sentences = [(x, x.split()) for x in _SENTENCE_END.split(_SET_ASIDE.sub(" ", lower))]  # a quoted message is a subject
     least = message_share * len(lower)
-    may = [x for x, parts in sentences if len(parts) <= LONGEST_MESSAGE and not _ANCHORS.isdisjoint(parts)]
+    may = [x for x, parts in sentences if len(parts) <= LONGEST_MESSAGE and any(map(_anchored.__getitem__, parts))]
     if not may or sum(map(len, may)) < least:
         return None
     return "message" if sum(len(x) for x in may if _MESSAGE.search(x)) >= least else None

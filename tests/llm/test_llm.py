@@ -395,3 +395,36 @@ def test_residue(spark):
     assert got == dict(enumerate([*values.values(), None]))
     assert residue.residue(df.union(df)).count() == 4 and residue.without_residue(df).count() == len(values) + 1 - 4
     assert residue.residue(df.limit(0)).count() == 0
+
+
+def ways(parsed):
+    """Texts that a parsed pattern matches: every branch, optional parts left out and taken."""
+    found = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts = [chr(arg)]
+        elif name == "BRANCH":
+            parts = [w for branch in arg[1] for w in ways(branch)]
+        elif name == "SUBPATTERN":
+            parts = ways(arg[3])
+        elif name == "MAX_REPEAT":
+            least, most, inner = arg
+            parts = [w * n for w in ways(inner) for n in {least, min(most, least + 1)}]
+        elif name == "IN":
+            kind, value = arg[0]
+            parts = [chr(value) if str(kind) == "LITERAL" else {"CATEGORY_DIGIT": "4", "CATEGORY_WORD": "x"}.get(str(value), " ")]
+        else:
+            parts = [" " if name == "ANY" else ""]
+        found = [a + b for a in found for b in parts]
+    return found
+
+
+def test_every_message_has_an_anchor():
+    for pattern in residue.MESSAGES:
+        matching = [w for w in ways(re._parser.parse(pattern)) if re.search(pattern, w)]
+        assert matching, pattern
+        for text in matching:
+            assert residue.kind_of(text, message_share=0.01) == "message", (pattern, text)
+    for text in ("410 Gone", "408 Request Timeout", "401 Authorization Required", "404", "Please try again.", "Please disable your adblocker.", "[Error]", "\u00a1Oops!", "(JavaScript is required)"):
+        assert residue.kind_of(text) == "message", text

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Sequence
 
@@ -19,27 +18,20 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the cluster's shared checkpoint folder and go on from there.
 
-    The folder is the one the session names in spark.checkpoint.dir. Only where
-    neither that nor a checkpoint folder is set (tests on one machine) is a
-    temporary one made.
+    The folder is the one the session names in spark.checkpoint.dir. A session
+    that names none gets a temporary one if it runs on one machine (local, as
+    tests do); on a cluster that is an error, as its executors share no such folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lectern-"))
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files and checkpoints that nothing refers to any more.
-
-    Its cleaner acts when the driver's JVM has collected garbage, which a driver
-    with little to do may not do for long. Call it when a large step is over.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def norm_lang(lang: Column) -> Column:
     """`EN`, `en-GB`, `en_us` -> `en`; null and blank -> `und`."""
     base = F.lower(F.regexp_extract(F.trim(lang), r"^([A-Za-z]+)", 1))

@@ -14,23 +14,29 @@ pigeonhole principle on the sets seen as bit vectors:
   is to say a subset of s bits.
 - s is 1, 2 or 3 and belongs to the partition, so that both sides name the same
   subsets. A dynamic program chooses it by class of partition (the frequency of
-  its word) such that the thresholds suffice at the least estimated number of
-  candidates; the counts are estimated from a hash sample of all subsets.
+  its bits) such that the thresholds suffice at the least estimated cost: pairs
+  that meet, from a hash sample of all subsets, and subsets named. What it
+  chooses is what runs; it is logged.
 - Partitions have one order for all records, the cheapest first, and a record
   names subsets of as many as it takes to reach H + 1, as the smaller one (it
   probes) and as the larger one. The first partition that two records share a
   subset of is then within reach of both, so probing is a join on subsets.
 
 Records whose partitions cannot reach H + 1 under those thresholds are matched
-with s = 1 in a second probe, which misses nothing. Candidates are verified on
-the whole sets. Equal sets are matched once and carried as members of a class.
-The sets are made from the texts once and kept as a checkpoint of hashes.
+with s = 1 in a second probe, which misses nothing. What a record names is packed
+(16 bytes a subset) and sent to buckets of bounded size, in which all pairs of a
+subset are looked at; a subset of very many records is split into groups, every
+two of which meet in a bucket of their own. Candidates are verified on the whole
+sets. Equal sets are matched once and carried as members of a class. The sets are
+made from the texts once and kept as a checkpoint of hashes.
 """
 
 from __future__ import annotations
 
+import logging
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import combinations
 
@@ -39,22 +45,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._util import cut, release
+from lectern.llm._util import cut
 
-#: Buckets of the frequency table of runs, of the filter of keys and of the filter of subsets: what is sent to the workers has this many numbers whatever the data.
-RUN_BUCKETS, KEY_BUCKETS, WHAT_BUCKETS = 1 << 20, 1 << 20, 1 << 22
-#: Numbers of a frequency table in one row of its partial sums.
+log = logging.getLogger(__name__)
+
+#: Buckets of the frequency table of runs, and bits of the maps of keys and of subsets: what is sent to the workers has this many numbers whatever the data.
+RUN_BUCKETS, KEY_BUCKETS, WHAT_BUCKETS = 1 << 20, 1 << 22, 1 << 22
+#: Numbers of a table in one row of its partial sums.
 SLICE = 1 << 15
+#: Values of an anchor.
+ANCHORS = 1 << 16
 #: One in so many partitions (by anchor) is counted to estimate candidates.
 SAMPLE = 8
+#: An anchor that any record has more bits of than this is named by single bits, which bounds the subsets of a partition.
+LARGEST = 12
 #: How far the thresholds overshoot on average, so that few records fall short.
 SLACK = 1.3
+#: Cost of naming a subset, in pairs to be looked at.
+POSTING_COST = 4
 #: Classes of partitions: the frequency of their bits by powers of two.
 CLASSES = 40
-#: Records of more bits are compared by the number of shared subsets, smaller ones by their sketches.
-SKETCHED = 150
-#: Surplus units of small and large records: similar ones share more subsets than this, as far as they have so many.
-FEW, SURPLUS = 4, 20
+#: Postings of a bucket, and pairs looked at at once.
+POSTINGS, PAIRS = 1 << 20, 1 << 21
+#: A subset that so many sets name is split into groups; so many such subsets at most.
+HOT, HEAVIEST = 1 << 13, 1 << 16
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -206,9 +220,14 @@ def allocate(units: np.ndarray, candidates: np.ndarray, needed: float, steps: in
     return out
 
 
+def _surplus(sizes: np.ndarray) -> np.ndarray:
+    """Units beyond the pigeonhole's, so that similar sets share several subsets: two thirds of the root of the size."""
+    return (np.sqrt(sizes) * 2 / 3).astype(np.int64)
+
+
 def _needed(sizes: np.ndarray, divisor: int = 2) -> np.ndarray:
     """Units by size of the set: one more than the bits that a similar set may lack and a surplus, but no more than there are bits."""
-    return np.minimum(sizes // divisor + 1 + np.where(sizes > SKETCHED, SURPLUS, FEW), sizes)
+    return np.minimum(sizes // divisor + 1 + _surplus(sizes), sizes)
 
 
 def sets(records: DataFrame, size: int) -> DataFrame:
@@ -229,20 +248,41 @@ def sets(records: DataFrame, size: int) -> DataFrame:
     return cut(records.select("id", "texts").where("id IS NOT NULL").mapInArrow(run_, "id string, key long, bits binary"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """(keys, unpacked sets) of `key, bits` in parts of bounded size; `once`: equal sets of a task only once."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(keys, unpacked sets) of `key, bits` in parts of bounded size; equal sets of a task mostly only once."""
     seen: set[int] = set()
     for whole in batches:
         for at in range(0, len(whole), 2000):
             batch = whole.slice(at, 2000)
             key, packed = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            if once:
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                fresh = [i for i, k in enumerate(key.tolist()) if not (k in seen or seen.add(k))]
-                key, packed = key[fresh], [packed[i] for i in fresh]
-            if len(key):
-                yield key, _unpack(packed)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            fresh = [i for i, k in enumerate(key.tolist()) if not (k in seen or seen.add(k))]
+            if fresh:
+                yield key[fresh], _unpack([packed[i] for i in fresh])
+
+
+def _gathered(parts: DataFrame, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type, numbers: int) -> np.ndarray:
+    """One table of fixed size from `slice int, part binary` rows of the workers, combined slice by slice on the workers."""
+    size = min(SLICE, numbers)
+
+    def add(key: tuple, part: pa.Table) -> pa.Table:
+        total = np.zeros(size, kind)
+        for x in part.column("part").to_pylist():
+            total = combine(total, np.frombuffer(x, kind))
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((numbers // size, size), kind)
+    for r in parts.groupBy("slice").applyInArrow(add, "slice int, part binary").collect():
+        out[r["slice"]] = np.frombuffer(r["part"], kind)
+    return out.reshape(-1)
+
+
+def _slices(table_: np.ndarray) -> pa.RecordBatch:
+    """The slices of a worker's table that hold anything."""
+    slices = table_.reshape(-1, min(SLICE, len(table_)))
+    used = np.nonzero(slices.any(axis=1))[0]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([slices[i].tobytes() for i in used], pa.binary())], names=["slice", "part"])
 
 
 def table(found: DataFrame) -> np.ndarray:
@@ -250,153 +290,269 @@ def table(found: DataFrame) -> np.ndarray:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = np.zeros(RUN_BUCKETS, np.uint32)
-        for _, (_, run, _) in _batches(batches, once=True):
+        for _, (_, run, _) in _batches(batches):
             runs += np.bincount((run & np.uint64(RUN_BUCKETS - 1)).astype(np.int64), minlength=RUN_BUCKETS).astype(np.uint32)
-        slices = runs.reshape(-1, SLICE)
-        used = np.nonzero(slices.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([slices[i].tobytes() for i in used], pa.binary())], names=["slice", "sums"])
+        yield _slices(runs)
 
-    def add(key: tuple, part: pa.Table) -> pa.Table:
-        total = np.zeros(SLICE, np.uint64)
-        for x in part.column("sums").to_pylist():
-            total += np.frombuffer(x, np.uint32)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+    add = lambda a, b: np.minimum(a.astype(np.uint64) + b, 2**32 - 1).astype(np.uint32)
+    return _gathered(found.select("key", "bits").mapInArrow(partial, "slice int, part binary"), add, np.uint32, RUN_BUCKETS)
+
+
+def bitmap(values: DataFrame, numbers: int) -> np.ndarray:
+    """A map of fixed size of the buckets that the one long column of `values` falls in, made on the workers slice by slice."""
 
-    runs = np.zeros((RUN_BUCKETS // SLICE, SLICE), np.uint32)
-    for r in found.select("key", "bits").mapInArrow(partial, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect():
-        runs[r["slice"]] = np.frombuffer(r["sums"], np.uint32)
-    return runs.reshape(-1)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(numbers, dtype=bool)
+        for batch in batches:
+            there[batch.column(0).to_numpy(zero_copy_only=False) & (numbers - 1)] = True
+        yield _slices(np.packbits(there))
 
+    return np.unpackbits(_gathered(values.mapInArrow(partial, "slice int, part binary"), np.bitwise_or, np.uint8, numbers // 8)).astype(bool)
 
-def plan(found: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each bucket of runs, subset size of each class, rank of each class), by the dynamic program.
 
-    Subsets of one bit are estimated from the table of runs, larger ones by
-    counting the subsets of sampled partitions in all records. Larger subsets are
-    used only if they promise less than half the candidates: single bits leave no
-    record short of its threshold.
-    """
-    runs = table(found)
-    level = np.minimum(np.log2(np.maximum(runs, 1)), CLASSES - 1).astype(np.uint8)
+@dataclass
+class Plan:
+    """The allocation: class of each bucket of runs, subset size and rank of each class, anchors whose partitions are too large for subsets, and the subsets to be named in all."""
+
+    level: np.ndarray
+    mode: np.ndarray
+    rank: np.ndarray
+    large: np.ndarray
+    postings: int
 
-    def rows(kind, s, what, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(s, pa.int32()), pa.array(what, pa.int64()), pa.array(n, pa.float64())], names=["kind", "s", "what", "n"])
+    def sizes(self, kind: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """The subset size of partitions, by class and anchor alone, so that all records name the same subsets of one."""
+        return np.where(self.large[anchor.astype(np.int64)], np.minimum(self.mode[kind], 1), self.mode[kind])
+
+    def single(self) -> Plan:
+        """The same with single bits throughout, from rare to frequent."""
+        return replace(self, mode=np.ones(CLASSES, np.int64), rank=np.arange(CLASSES))
+
+
+def plan(found: DataFrame) -> Plan:
+    """The allocation of thresholds by the dynamic program.
+
+    The cost of naming subsets of s bits of a class of partitions is the pairs of
+    records that would meet, and `POSTING_COST` for every subset named. Pairs on
+    single bits come from the table of runs, those on larger subsets from the
+    subsets of sampled partitions in all records.
+    """
+    level = np.minimum(np.log2(np.maximum(runs := table(found), 1)), CLASSES - 1).astype(np.uint8)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, needed = np.zeros((CLASSES, 4)), 0
-        for key, unpacked in _batches(batches, once=True):
+        totals, needed = np.zeros((3, CLASSES, 4)), 0
+        largest = np.zeros(ANCHORS, np.int64)
+        rows = lambda kind, s, what, n, m: pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(s, pa.int32()), pa.array(what, pa.int64()), pa.array(n, pa.float64()), pa.array(m, pa.float64())], names=["kind", "s", "what", "n", "m"])
+        for key, unpacked in _batches(batches):
             owner, run, anchor, starts, sizes, kind = partitions(*unpacked, level)
-            sampled = (sizes <= 24) & ((anchor[starts] & np.uint64(SAMPLE - 1)) == 0)
+            np.maximum.at(largest, anchor[starts].astype(np.int64), sizes)
+            sampled = (sizes <= LARGEST) & ((anchor[starts] & np.uint64(SAMPLE - 1)) == 0)
             needed += int(_needed(np.bincount(owner, minlength=len(key))).sum())
             for s in (1, 2, 3):
-                units[:, s] += np.bincount(kind, weights=np.maximum(sizes - s + 1, 0), minlength=CLASSES)
+                totals[0, :, s] += np.bincount(kind, weights=np.maximum(sizes - s + 1, 0), minlength=CLASSES)
+                fit = np.where(sizes <= LARGEST, sizes, 0).astype(np.float64)
+                totals[1, :, s] += np.bincount(kind, weights=fit if s == 1 else fit * (fit - 1) / 2 if s == 2 else fit * (fit - 1) * (fit - 2) / 6, minlength=CLASSES)
                 if s > 1:
                     where, what = subsets(run, starts, sizes, np.where(sampled, s, 0))
-                    yield rows(kind[where], np.full(len(what), s), what.view(np.int64), np.ones(len(what)))
-        yield rows(np.repeat(np.arange(CLASSES), 3), np.tile([1, 2, 3], CLASSES), np.zeros(3 * CLASSES, np.int64), units[:, 1:].reshape(-1))
-        yield rows(np.array([-1]), np.array([0]), np.zeros(1, np.int64), np.array([float(needed)]))
-
-    sums = found.select("key", "bits").mapInArrow(measure, "kind int, s int, what long, n double").groupBy("kind", "s", "what").agg(F.sum("n").alias("n"))
-    units, expected, needed = np.zeros((CLASSES, 4)), np.zeros((CLASSES, 4)), 0.0
-    for r in sums.groupBy("kind", "s").agg(F.sum(F.when(F.col("what") == 0, F.col("n"))).alias("units"), F.sum(F.when(F.col("what") != 0, F.col("n") * (F.col("n") - 1) / 2)).alias("pairs")).collect():
-        if r.kind < 0:
+                    what, first, n = np.unique(what, return_index=True, return_counts=True)
+                    yield rows(kind[where[first]], np.full(len(what), s), what.view(np.int64) | 1, n, np.zeros(len(what)))
+        yield rows(np.repeat(np.arange(CLASSES), 3), np.tile([1, 2, 3], CLASSES), np.zeros(3 * CLASSES, np.int64), totals[0, :, 1:].reshape(-1), totals[1, :, 1:].reshape(-1))
+        yield rows(np.array([-1]), np.array([0]), np.zeros(1, np.int64), np.array([float(needed)]), np.zeros(1))
+        over = np.nonzero(largest > LARGEST)[0]
+        yield rows(np.full(len(over), -2), over, np.zeros(len(over), np.int64), np.ones(len(over)), np.zeros(len(over)))
+
+    sums = found.select("key", "bits").mapInArrow(measure, "kind int, s int, what long, n double, m double").groupBy("kind", "s", "what").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    units, postings, pairs, needed, large = np.zeros((CLASSES, 4)), np.zeros((CLASSES, 4)), np.zeros((CLASSES, 4)), 0.0, np.zeros(ANCHORS, bool)
+    for r in sums.groupBy("kind", "s").agg(F.sum(F.when(F.col("what") == 0, F.col("n"))).alias("units"), F.sum("m").alias("postings"), F.sum(F.when(F.col("what") != 0, F.col("n") * (F.col("n") - 1) / 2)).alias("pairs")).collect():
+        if r.kind == -1:
             needed = r.units
+        elif r.kind == -2:
+            large[r.s] = True
         else:
-            units[r.kind, r.s] = r.units or 0
-            expected[r.kind, r.s] = SAMPLE * (r.pairs or 0)
+            units[r.kind, r.s], postings[r.kind, r.s], pairs[r.kind, r.s] = r.units or 0, r.postings or 0, SAMPLE * (r.pairs or 0)
     often = runs.astype(np.float64)
-    expected[:, 1] = np.bincount(level, weights=often * (often - 1) / 2, minlength=CLASSES)
-    expected[:, 2:] = np.maximum(expected[:, 2:], expected[:, 1:2] * 1e-3)  # what the sample missed
-    mode = allocate(units, expected, needed * SLACK)
-    spent = np.minimum(np.maximum(needed - (np.cumsum(units[:, 1]) - units[:, 1]), 0), units[:, 1])
-    plain = (expected[:, 1] * spent / np.maximum(units[:, 1], 1)).sum()
-    if 2 * expected[np.arange(CLASSES), mode][mode > 0].sum() > plain:
-        return level, np.ones(CLASSES, np.int64), np.arange(CLASSES)
-    price = np.where(mode > 0, expected[np.arange(CLASSES), mode] / np.maximum(units[np.arange(CLASSES), mode], 1), np.inf)
-    return level, mode, np.argsort(np.argsort(price, kind="stable"), kind="stable")
-
-
-def named(found: DataFrame, level: np.ndarray, mode: np.ndarray, rank: np.ndarray, short: bool = False, among: np.ndarray | None = None) -> DataFrame:
-    """`what, key, n, s1, s2`: the subsets a set names, with its size (negative where it does not do so as the smaller one) and sketch.
-
-    With `short`, only the sets that cannot reach their threshold, and by single
-    bits. With `among`, single bits of all sets, as far as the filter has them.
+    pairs[:, 1] = np.bincount(level, weights=often * (often - 1) / 2, minlength=CLASSES)
+    cost = pairs + POSTING_COST * postings
+    mode = allocate(units, cost, needed * SLACK)
+    own = np.arange(CLASSES)
+    price = np.where(mode > 0, cost[own, mode] / np.maximum(units[own, mode], 1), np.inf)
+    log.info("near-duplicates: %d units needed; subset sizes by class of frequency (powers of two): %s", needed, {int(c): int(mode[c]) for c in own if units[c, 1]})
+    return Plan(level, mode, np.argsort(np.argsort(price, kind="stable"), kind="stable"), large, int(needed))
+
+
+def named(batches: Iterator[pa.RecordBatch], plan_: Plan, part: str = "all", among: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(subset of 40 bits, key of 48 bits, size of the set) of the subsets that the sets of `key, bits` name, batch by batch; the size is negative where a set does not name it as the smaller one.
+
+    `part`: "all" sets by the plan; "short" ones only, that cannot reach their
+    threshold by it, by single bits; "rest", the others, by single bits as far as
+    the map `among` has them.
     """
+    by = plan_ if part == "all" else plan_.single()
+    for key, (owner, run, anchor) in _batches(batches):
+        many = len(key)
+        count = np.bincount(owner, minlength=many)
+        if part != "all":
+            _, mine, heads, _, sizes, kind = _placed(owner, run, anchor, plan_)
+            s = plan_.sizes(kind, heads)
+            lacking = np.bincount(mine, weights=np.where(s > 0, np.maximum(sizes - s + 1, 0), 0), minlength=many) < _needed(count)
+            keep = (lacking if part == "short" else ~lacking)[owner]
+            owner, run, anchor = owner[keep], run[keep], anchor[keep]
+            if not len(owner):
+                continue
+        run, mine, heads, starts, sizes, kind = _placed(owner, run, anchor, by)
+        s = by.sizes(kind, heads)
+        units = np.where(s > 0, np.maximum(sizes - s + 1, 0), 0)
+        before = np.cumsum(units) - units
+        first = np.searchsorted(mine, np.arange(many))
+        reach = before - before[np.minimum(first, len(before) - 1)][mine]
+        where, what = subsets(run, starts, sizes, np.where(reach < _needed(count)[mine], s, 0))
+        if among is not None:
+            some = among[(what & np.uint64(WHAT_BUCKETS - 1)).astype(np.int64)]
+            where, what = where[some], what[some]
+        of = mine[where]
+        yield what & np.uint64(2**40 - 1), key[of].view(np.uint64) >> np.uint64(16), np.where(reach[where] < _needed(count, 3)[of], count[of], -count[of])
+
+
+def _placed(owner: np.ndarray, run: np.ndarray, anchor: np.ndarray, plan_: Plan) -> tuple[np.ndarray, ...]:
+    """(bits; record, anchor, start, size and class of each partition), in the plan's order."""
+    owner, run, anchor, starts, sizes, kind = partitions(owner, run, anchor, plan_.level, plan_.rank)
+    return run, owner[starts], anchor[starts], starts, sizes, kind
+
+
+def heavy(found: DataFrame, plan_: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """(subsets that about `HOT` sets name or more, sorted; how many groups their sets are split into).
+
+    Told from one set in sixteen by hash, of which all are counted. This decides
+    how the work is split, not what is found: a subset that is missed here is
+    paired whole. At most `HEAVIEST` subsets, the most frequent.
+    """
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = (b.filter(pa.array((b.column(0).to_numpy(zero_copy_only=False) & 15) == 0)) for b in batches)
+        for what, _, _ in named(some, plan_):
+            what, n = np.unique(what, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(what.view(np.int64)), pa.array(n, pa.int64())], names=["what", "n"])
+
+    rows = found.select("key", "bits").mapInArrow(run_, "what long, n long").groupBy("what").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT // 16).orderBy(F.desc("n")).limit(HEAVIEST).collect()
+    rows.sort(key=lambda r: r.what)
+    return np.array([r.what for r in rows], np.uint64), np.array([-(-16 * r.n // HOT) for r in rows], np.int64)
+
+
+def _salted(what: np.ndarray, key: np.ndarray, n: np.ndarray, hot: np.ndarray, groups_: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Postings with those of heavy subsets spread: each of g groups of sets meets itself and every other one under a subset of its own. (what, key, size, side): sides are 0 within a group, 1 and 2 between two."""
+    side = np.zeros(len(what), np.uint8)
+    if not len(hot):
+        return what, key, n, side
+    at = np.minimum(np.searchsorted(hot, what), len(hot) - 1)
+    is_hot = hot[at] == what
+    if not is_hot.any():
+        return what, key, n, side
+    out = [(what[~is_hot], key[~is_hot], n[~is_hot], side[~is_hot])]
+    what, key, n, g = what[is_hot], key[is_hot], n[is_hot], groups_[at[is_hot]]
+    own = (_mix(key * _M1 + _M2) % g.astype(np.uint64)).astype(np.int64)
+    copy = np.repeat(np.arange(len(what)), g)
+    other = np.arange(len(copy)) - np.repeat(np.cumsum(g) - g, g)
+    mine = own[copy]
+    low, high = np.minimum(mine, other), np.maximum(mine, other)
+    fresh = _mix(what[copy] * _M3 + low.astype(np.uint64) * _M1 + high.astype(np.uint64) * _M2 + np.uint64(1)) & np.uint64(2**40 - 1)
+    out.append((fresh, key[copy], n[copy], np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.uint8)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def postings(found: DataFrame, plan_: Plan, buckets: int, hot: tuple[np.ndarray, np.ndarray], part: str = "all", among: np.ndarray | None = None, tag: bool = False) -> DataFrame:
+    """`bucket, packed`: what the sets name, by ranges of subsets, sorted and packed in planes of bytes: 16 bytes a posting, most of the upper ones alike. `tag` marks them."""
+
+    def pack(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        what, key, n, side = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(what, kind="stable")
+        what, key, n, side = what[order], key[order], n[order], side[order]
+        bucket = ((what * np.uint64(buckets)) >> np.uint64(40)).astype(np.int64)
+        starts = np.nonzero(np.diff(bucket, prepend=-1))[0]
+        ends = np.append(starts[1:], len(bucket))
+        flags = (side | np.where(n < 0, 4, 0) | (8 if tag else 0)).astype(np.uint8)
+        planes = np.concatenate([what.view(np.uint8).reshape(-1, 8)[:, 4::-1], key.view(np.uint8).reshape(-1, 8)[:, :6], np.abs(n).astype(np.uint32).view(np.uint8).reshape(-1, 4), flags[:, None]], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([np.ascontiguousarray(planes[a:b].T).tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["bucket", "packed"])
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, (owner, run, anchor) in _batches(batches, once=True):
-            many = len(key)
-            count = np.bincount(owner, minlength=many)
-            starts = np.cumsum(count) - count
-            mixed = _mix(run * _M2 + _M3)
-            place = np.uint64(1) << (mixed >> np.uint64(58))
-            upper = (mixed >> np.uint64(57)) & np.uint64(1)
-            sketched = np.where(count <= SKETCHED, np.uint64(2**64 - 1), np.uint64(0))
-            s1 = np.bitwise_or.reduceat(np.where(upper == 0, place, np.uint64(0)), starts) & sketched
-            s2 = np.bitwise_or.reduceat(np.where(upper == 1, place, np.uint64(0)), starts) & sketched
-            modes, ranks = mode, rank
-            if short or among is not None:
-                if short:
-                    _, _, _, _, sizes, kind, mine = _placed(owner, run, anchor, level, rank)
-                    units = np.where(mode[kind] > 0, np.maximum(sizes - mode[kind] + 1, 0), 0)
-                    lacking = np.bincount(mine, weights=units, minlength=many) < _needed(count)
-                    keep = lacking[owner]
-                    owner, run, anchor = owner[keep], run[keep], anchor[keep]
-                    if not len(owner):
-                        continue
-                modes, ranks = np.ones(CLASSES, np.int64), np.arange(CLASSES)
-            run, _, _, starts, sizes, kind, mine = _placed(owner, run, anchor, level, ranks)
-            s = modes[kind]
-            units = np.where(s > 0, np.maximum(sizes - s + 1, 0), 0)
-            before = np.cumsum(units) - units
-            first = np.searchsorted(mine, np.arange(many))
-            reach = before - before[np.minimum(first, len(before) - 1)][mine]
-            where, what = subsets(run, starts, sizes, np.where(reach < _needed(count)[mine], s, 0))
-            if among is not None:
-                some = among[(what & np.uint64(WHAT_BUCKETS - 1)).astype(np.int64)]
-                where, what = where[some], what[some]
-            of = mine[where]
-            n = np.where(reach[where] < _needed(count, 3)[of], count[of], -count[of])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((what & np.uint64(2**40 - 1)).view(np.int64)), pa.array(key[of]), pa.array(n, pa.int32()), pa.array(s1[of].view(np.int64)), pa.array(s2[of].view(np.int64))], names=["what", "key", "n", "s1", "s2"]
-            )
-
-    return found.select("key", "bits").mapInArrow(run_, "what long, key long, n int, s1 long, s2 long")
-
-
-def _placed(owner: np.ndarray, run: np.ndarray, anchor: np.ndarray, level: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(bits, records, anchors, starts, sizes, classes, record of each partition)."""
-    owner, run, anchor, starts, sizes, kind = partitions(owner, run, anchor, level, rank)
-    return run, owner, anchor, starts, sizes, kind, owner[starts]
-
-
-def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of keys (a < b) of a set that names a subset as the smaller one in `a` and one not smaller in `b` that names it too, and that may be similar.
-
-    The larger must be within twice the smaller. Small sets must have sketches
-    that differ in no more bits than similar sets may, (|A| + |B|) / 3; and all
-    must share more subsets than the surplus, or as many bits as similar sets of
-    their sizes have in common, (|A| + |B|) / 3, where that is less. Every condition is on both sides,
-    so that a join of a table with itself shuffles it once.
+        held, many = [], 0
+        for one in named(batches, plan_, part, among):
+            held.append(_salted(*one, *hot))
+            many += len(held[-1][0])
+            if many > POSTINGS:
+                yield pack(held)
+                held, many = [], 0
+        if many:
+            yield pack(held)
+
+    return found.select("key", "bits").mapInArrow(run_, "bucket int, packed binary")
+
+
+def candidates(packed: DataFrame, buckets: int, tagged: bool = False) -> DataFrame:
+    """`a, b` (keys of 48 bits, a < b) of the sets that may be similar: the smaller names a subset as such that the larger names too, and they share enough.
+
+    The larger must be within twice the smaller, and both must share more subsets
+    than the surplus, or as many bits as similar sets of their sizes have in
+    common, (|A| + |B|) / 3, where that is less. A bucket is one partition of
+    about `POSTINGS` postings whatever the input; it counts what its pairs share
+    before they leave it. `tagged`: at least one of the two is tagged.
     """
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    differ = F.bit_count(x("s1").bitwiseXOR(y("s1"))) + F.bit_count(x("s2").bitwiseXOR(y("s2")))
-    n, n_b = F.abs(x("n")), F.abs(y("n"))
-    smaller = F.pmod(x("n") - 1, F.lit(1 << 30)) < n_b  # no negative n, and n <= n_b
-    once = (n < n_b) | (x("key") < y("key"))
-    fit = smaller & once & (x("key") != y("key")) & (n_b <= 2 * n) & ((n_b > F.lit(SKETCHED) + 0 * n) | (differ * 3 <= n + n_b))
-    joined = a.alias("x").join(b.alias("y"), (x("what") == y("what")) & fit)
-    shares = F.least(F.when(n > SKETCHED, SURPLUS + 1).otherwise(FEW + 1), F.ceil((n + n_b) / 3)).cast("int")
-    pairs = joined.select(F.least(x("key"), y("key")).alias("a"), F.greatest(x("key"), y("key")).alias("b"), shares.alias("shares")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("shares").alias("shares"))
-    return pairs.where("shared >= shares").select("a", "b")
-
-
-def _filter(values: DataFrame, buckets: int) -> np.ndarray:
-    """A bitmap of fixed size of the buckets of the one column of `values`."""
-    out = np.zeros(buckets, dtype=bool)
-    at = F.col(values.columns[0]).bitwiseAND(F.lit(buckets - 1)).cast("int")
-    out[[r[0] for r in values.select(at).distinct().collect()]] = True
-    return out
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = [np.frombuffer(x, np.uint8).reshape(16, -1) for b in batches for x in b.column(1).to_pylist()]
+        if not planes:
+            return
+        p = np.concatenate(planes, axis=1)
+        del planes
+        number = lambda rows: sum((p[r].astype(np.uint64) << np.uint64(8 * i) for i, r in enumerate(rows)), np.uint64(0))
+        what, key, n, flags = number((4, 3, 2, 1, 0)), number(range(5, 11)), number(range(11, 15)).astype(np.int64), p[15]
+        del p
+        order = np.lexsort((key, flags, what))
+        what, key, n, flags = what[order], key[order], n[order], flags[order]
+        new = np.ones(len(what), bool)
+        new[1:] = (what[1:] != what[:-1]) | (key[1:] != key[:-1]) | (flags[1:] != flags[:-1])  # equal sets of several tasks
+        what, key, n, flags = what[new], key[new], n[new], flags[new]
+        ends = np.searchsorted(what, what, "right")
+        later = ends - np.arange(len(what)) - 1
+        upto = np.cumsum(later)
+        at, seen = 0, []
+        surplus = _surplus(np.arange(int(n.max()) + 1)) + 1 if len(n) else np.zeros(1)
+
+        def counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            a, b, c, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((b, a))
+            a, b, c, s = a[order], b[order], c[order], s[order]
+            starts = np.nonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[0]
+            return a[starts], b[starts], np.add.reduceat(c, starts), s[starts]
+
+        def out(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            a, b, c, s = part
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(c, pa.int32()), pa.array(s, pa.int32())], names=["a", "b", "shared", "shares"])
+
+        held = 0
+        while at < len(what):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+            many = later[at:to]
+            left = np.repeat(np.arange(at, to), many)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
+            at = to
+            swap = (n[left] > n[right]) | ((n[left] == n[right]) & (key[left] > key[right]))
+            small, big = np.where(swap, right, left), np.where(swap, left, right)
+            fit = (n[big] <= 2 * n[small]) & ((flags[small] & 4) == 0) & (key[small] != key[big]) & (((flags[small] & 3) == 0) | ((flags[small] & 3) != (flags[big] & 3)))
+            if tagged:
+                fit &= ((flags[small] | flags[big]) & 8) != 0
+            small, big = small[fit], big[fit]
+            if len(small):
+                shares = np.minimum(surplus[n[small]], -(-(n[small] + n[big]) // 3))
+                seen.append(counted([(np.minimum(key[small], key[big]), np.maximum(key[small], key[big]), np.ones(len(small), np.int64), shares)]))
+                held += len(seen[-1][0])
+            if held > PAIRS:
+                yield out(counted(seen))
+                held, seen = 0, []
+        if held:
+            yield out(counted(seen))
+
+    met = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run_, "a long, b long, shared int, shares int")
+    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("shares").alias("shares")).where("shared >= shares").select("a", "b")
 
 
 def similar_sets(records: DataFrame, size: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -406,32 +562,31 @@ def similar_sets(records: DataFrame, size: int = 3) -> tuple[DataFrame, DataFram
     over its texts of their runs of `size` words.
     """
     found = sets(records, size)
-    level, mode, rank = plan(found)
-    ways = named(found, level, mode, rank)
-    pairs = cut(candidates(ways, ways))
-    del ways
-    if (mode != 1).any():
-        short = cut(named(found, level, mode, rank, short=True))
-        if not short.isEmpty():
-            met = named(found, level, mode, rank, among=_filter(short.select("what"), WHAT_BUCKETS))
-            pairs = cut(pairs.unionByName(candidates(short, met)).unionByName(candidates(met, short)).distinct())
-    release(records.sparkSession)  # the named subsets
-    wanted = _filter(pairs.select(F.explode(F.array("a", "b")).alias("key")), KEY_BUCKETS)
+    by = plan(found)
+    buckets = 1 + by.postings // POSTINGS
+    pairs = cut(candidates(postings(found, by, buckets, heavy(found, by)), buckets))
+    if (by.mode != 1).any():
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        wanting = bitmap(found.select("key", "bits").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(w.view(np.int64))], names=["what"]) for w, _, _ in named(bs, by, "short")), "what long"), WHAT_BUCKETS)
+        if wanting.any():
+            hot = heavy(found, by.single()) if wanting.mean() > 0.01 else none
+            both = postings(found, by, buckets, hot, "short", tag=True).unionByName(postings(found, by, buckets, hot, "rest", among=wanting))
+            pairs = cut(pairs.unionByName(candidates(both, buckets, tagged=True)).distinct())
+    wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("k")), KEY_BUCKETS)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = wanted[batch.column(0).to_numpy(zero_copy_only=False) & (KEY_BUCKETS - 1)]
-            some = batch.filter(pa.array(mask))
-            short = [np.frombuffer(x, dtype=np.uint8).reshape(-1, 7)[:, 2:].tobytes() for x in some.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(short, pa.binary())], names=["key", "bits"])
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            short = (key.view(np.uint64) >> np.uint64(16)).view(np.int64)
+            mask = pa.array(wanted[short & (KEY_BUCKETS - 1)])
+            some = [np.frombuffer(x, dtype=np.uint8).reshape(-1, 7)[:, 2:].tobytes() for x in batch.column(1).filter(mask).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(key).filter(mask), pa.array(short).filter(mask), pa.array(some, pa.binary())], names=["key", "k", "bits"])
 
     def wide(packed: bytes) -> np.ndarray:
         out = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
         out[:, :5] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
         return out.reshape(-1).view(np.uint64)
 
-    whole = found.select("key", "bits").mapInArrow(needed, "key long, bits binary").dropDuplicates(["key"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, sums = [], []
@@ -442,14 +597,14 @@ def similar_sets(records: DataFrame, size: int = 3) -> tuple[DataFrame, DataFram
             inter = np.array(shared, dtype=np.int64)
             total = np.array(sums, dtype=np.int64) - inter
             keep = pa.array(2 * inter >= total)
-            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(inter), pa.array(total))], names=["a", "b", "inter", "total"])
+            a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(x).filter(keep) for x in (np.minimum(a, b), np.maximum(a, b), inter, total)], names=["a", "b", "inter", "total"])
 
-    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a").join(whole.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b")
-    verified = both.select("a", "b", "bits_a", "bits_b").mapInArrow(compare, "a long, b long, inter long, total long")
-    verified, members = cut(verified), cut(found.select("id", "key").distinct())
-    del found, pairs, whole, both
-    release(records.sparkSession)
-    return verified, members
+    whole = found.select("key", "bits").mapInArrow(needed, "key long, k long, bits binary").dropDuplicates(["key"])
+    side = lambda x: whole.select(F.col("k").alias(x), F.col("key").alias(f"key_{x}"), F.col("bits").alias(f"bits_{x}"))
+    both = pairs.hint("merge").join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    verified = both.select("key_a", "key_b", "bits_a", "bits_b").mapInArrow(compare, "a long, b long, inter long, total long")
+    return cut(verified), cut(found.select("id", "key").distinct())
 
 
 def similar_pairs(records: DataFrame, size: int = 3) -> DataFrame:
@@ -472,22 +627,31 @@ def similar_pairs(records: DataFrame, size: int = 3) -> DataFrame:
 def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """`id, group, n_links`: the connected classes of similar sets, a row per record, `group` the least id of the class.
 
-    Labels spread along the pairs of keys, and every round also jumps to the label
-    of the label, so the rounds grow with the logarithm of a chain's length.
-    `n_links` counts the other sets a record's set is similar to.
+    Every round joins each key's neighbours to the least key among them and
+    itself, first the greater ones, then the lesser ones, until the edges are
+    stars; the rounds grow with the logarithm of a chain's length. A round writes
+    one table of edges, no more than it began with, and the one before is let go;
+    both sides of its joins grow, so none is broadcast. `n_links` counts the other
+    sets a record's set is similar to.
     """
-    edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    least = cut(members.groupBy("key").agg(F.min("id").alias("label")))
-    labels = cut(least.join(edges.select(F.col("a").alias("key")).distinct(), "key", "left_semi"))
-    of = labels.select("key", F.col("label").alias("own"))
+    edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    stars = cut(edges.where("b < a").select(F.col("a").alias("u"), F.col("b").alias("v")))
     while True:
-        near = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "key", "left").select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = of.join(labels, "key").groupBy(F.col("own").alias("label")).agg(F.min(F.col("label")).alias("far"))
-        step = cut(step.join(jump, "label", "left").select("key", "old", F.least("label", "far").alias("label")))
-        if step.where("old <> label").isEmpty():
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.distinct()
+        first = low.groupBy("u").agg(F.min("v").alias("m"))
+        small = low.join(first.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(first.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        new = cut(small)
+        same = new.count() == stars.count() and new.join(stars.hint("merge"), ["u", "v"], "left_anti").isEmpty()
+        stars = new
+        del both, least, large, low, first, small, new
+        if same:
             break
-        labels = step.drop("old")
+    root = stars.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("root"))
+    of = members.join(root.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    name = of.groupBy("root").agg(F.min("id").alias("group"))
     links = edges.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n_links"))
-    named_ = least.join(step.select("key", F.col("label").alias("group")), "key", "left").select("key", F.coalesce("group", "label").alias("group"))
-    return members.join(named_, "key").join(links, "key", "left").select("id", "group", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = of.join(name.hint("merge"), "root").join(links.hint("merge"), "key", "left")
+    return out.select("id", "group", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

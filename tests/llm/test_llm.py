@@ -4,6 +4,7 @@ import base64
 import os
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -172,13 +173,45 @@ def test_larger_subsets_lose_nothing(spark, monkeypatch):
     for k in range(40):
         base = [rng.choice([f"w{i}" for i in range(25)]) for _ in range(rng.randrange(4, 40))]
         records += [(f"{k}-{i}", [" ".join(edited(rng, base))]) for i in range(3)]
+    records += [("same word", ["w1 " * 50 + "w2 w1 w3 w1 w4 w1 w5 w1 w6 w1"]), ("same word again", ["w1 " * 50 + "w2 w1 w3 w1 w4 w1 w5 w1 w6 w7"])]
     df = spark.createDataFrame(records, "id string, texts array<string>")
     real = neardup.plan
     for mode in (2, 3):
-        monkeypatch.setattr(neardup, "plan", lambda found, m=mode: (real(found)[0], np.full(neardup.CLASSES, m), np.arange(neardup.CLASSES)))
+        monkeypatch.setattr(neardup, "plan", lambda found, m=mode: replace(real(found), mode=np.full(neardup.CLASSES, m), rank=np.arange(neardup.CLASSES)))
         assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == brute(records)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables are not here")
+def test_the_plan_mixes_sizes_and_runs_them(spark):
+    rows = {(r.def_id, r.excerpt) for r in spark.read.parquet("/root/testdata/sf0.01/definitions.parquet").select("def_id", "excerpt").collect()}
+    df = spark.createDataFrame([(i, [t]) for i, t in sorted(rows)], "id string, texts array<string>")
+    mode = neardup.plan(neardup.sets(df, 3)).mode
+    assert {1, 2} <= set(mode.tolist()) or {1, 3} <= set(mode.tolist())
+    assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == brute([(i, [t]) for i, t in rows])
+
+
+def test_hot_subsets_are_split_without_loss(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(20)]
+    records = [(f"{k}", [" ".join(edited(rng, base))]) for k in range(80)] + [("x", ["w1 w2 w3"])]
+    df = spark.createDataFrame(records, "id string, texts array<string>")
+    monkeypatch.setattr(neardup, "HOT", 16)
+    monkeypatch.setattr(neardup, "PAIRS", 50)
+    found = neardup.sets(df, 3)
+    assert neardup.heavy(found, neardup.plan(found))[1].max() > 1
+    assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == brute(records)
+
+
+def test_groups_of_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)]
+    pairs = spark.createDataFrame(edges, "a long, b long")
+    members = spark.createDataFrame([(f"r{k:03}", k) for k in [*range(41), 100, 101, 102, 500]] + [("a copy", 102)], "id string, key long")
+    got = {r.id: (r.group, r.n_links) for r in neardup.groups(pairs, members).collect()}
+    assert {got[f"r{k:03}"][0] for k in range(41)} == {"r000"} and got["r000"][1] == 1 and got["r005"][1] == 2
+    assert got["a copy"] == ("a copy", 2) and got["r100"] == ("a copy", 2) and got["r500"] == ("r500", 0)
+    assert neardup.groups(pairs.limit(0), members.limit(0)).count() == 0
+
+
 def test_allocation_is_the_best_choice():
     units, cost = np.array([[0, 10, 6, 0], [0, 8, 4, 2]]), np.array([[0, 100, 5, 0], [0, 50, 9, 1]])
     assert neardup.allocate(units, cost, 8, 8).tolist() == [2, 3]

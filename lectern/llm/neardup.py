@@ -66,7 +66,7 @@ POSTING_COST = 4
 #: Classes of partitions: the frequency of their bits by powers of two.
 CLASSES = 40
 #: Postings of a bucket, and pairs looked at at once.
-POSTINGS, PAIRS = 1 << 20, 1 << 21
+POSTINGS, PAIRS = 1 << 19, 1 << 18
 #: A subset that so many sets name is split into groups; so many such subsets at most.
 HOT, HEAVIEST = 1 << 13, 1 << 16
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))

@@ -53,18 +53,18 @@ log = logging.getLogger(__name__)
 RUN_BUCKETS, KEY_BUCKETS, WHAT_BUCKETS = 1 << 20, 1 << 22, 1 << 22
 #: Numbers of a table in one row of its partial sums.
 SLICE = 1 << 15
-#: Values of an anchor.
-ANCHORS = 1 << 16
 #: One in so many partitions (by anchor) is counted to estimate candidates.
 SAMPLE = 8
-#: An anchor that any record has more bits of than this is named by single bits, which bounds the subsets of a partition.
-LARGEST = 12
+#: Bits of a partition at most of which subsets of 1, 2 and 3 are named (a thousand subsets or so); a record with a larger one is matched by single bits.
+LARGEST = np.array([1 << 62, 1 << 62, 45, 19])
+#: Sets of more bits have no sketch: one of 128 places could tell no two of them apart.
+SKETCHED = 110
 #: How far the thresholds overshoot on average, so that few records fall short.
 SLACK = 1.3
 #: Cost of naming a subset, in pairs to be looked at.
-POSTING_COST = 4
-#: Classes of partitions: the frequency of their bits by powers of two.
-CLASSES = 40
+POSTING_COST = 1
+#: Classes of partitions: the frequency of their bits by powers of `BASE`.
+BASE, CLASSES = 4, 20
 #: Postings of a bucket, and pairs looked at at once.
 POSTINGS, PAIRS = 1 << 19, 1 << 18
 #: A subset that so many sets name is split into groups; so many such subsets at most.
@@ -115,7 +115,7 @@ def word_codes(records: list[list[str | None] | None]) -> tuple[np.ndarray, np.n
 def bits(records: list[list[str | None] | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, bit, anchor) of the distinct runs of `size` words in one text, by record and bit.
 
-    A bit is a hash of 40 bits of the run, the anchor one of 16 bits of its word
+    A bit is a hash of 36 bits of the run, the anchor one of 12 bits of its word
     of the least hash.
     """
     codes, record, text = word_codes(records)
@@ -127,23 +127,23 @@ def bits(records: list[list[str | None] | None], size: int) -> tuple[np.ndarray,
     for i in range(size):
         run = _mix(run * _M3 + codes[here + i])
         anchor = np.minimum(anchor, codes[here + i])
-    both = (record[here].astype(np.uint64) << np.uint64(40)) | (run >> np.uint64(24))
+    both = (record[here].astype(np.uint64) << np.uint64(36)) | (run >> np.uint64(28))
     both, first = np.unique(both, return_index=True)
-    return (both >> np.uint64(40)).astype(np.int64), both & np.uint64(2**40 - 1), anchor[first] & np.uint64(0xFFFF)
+    return (both >> np.uint64(36)).astype(np.int64), both & np.uint64(2**36 - 1), anchor[first] & np.uint64(0xFFF)
 
 
 def _pack(run: np.ndarray, anchor: np.ndarray) -> bytes:
-    """Seven bytes a bit: the bit and its anchor."""
-    return ((run << np.uint64(16)) | anchor).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    """Six bytes a bit: the bit and its anchor."""
+    return ((run << np.uint64(12)) | anchor).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, bit, anchor) of packed sets."""
-    sizes = np.array([len(x) // 7 for x in packed], dtype=np.int64)
+    sizes = np.array([len(x) // 6 for x in packed], dtype=np.int64)
     wide = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
-    wide[:, :7] = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, 7)
+    wide[:, :6] = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, 6)
     both = wide.reshape(-1).view(np.uint64)
-    return np.repeat(np.arange(len(packed)), sizes), both >> np.uint64(16), both & np.uint64(0xFFFF)
+    return np.repeat(np.arange(len(packed)), sizes), both >> np.uint64(12), both & np.uint64(0xFFF)
 
 
 def partitions(owner: np.ndarray, run: np.ndarray, anchor: np.ndarray, level: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -299,7 +299,7 @@ def table(found: DataFrame) -> np.ndarray:
 
 
 def bitmap(values: DataFrame, numbers: int) -> np.ndarray:
-    """A map of fixed size of the buckets that the one long column of `values` falls in, made on the workers slice by slice."""
+    """A map of `numbers` bits, packed: the places that the one long column of `values` falls in. Made on the workers, slice by slice."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.zeros(numbers, dtype=bool)
@@ -307,23 +307,24 @@ def bitmap(values: DataFrame, numbers: int) -> np.ndarray:
             there[batch.column(0).to_numpy(zero_copy_only=False) & (numbers - 1)] = True
         yield _slices(np.packbits(there))
 
-    return np.unpackbits(_gathered(values.mapInArrow(partial, "slice int, part binary"), np.bitwise_or, np.uint8, numbers // 8)).astype(bool)
+    return _gathered(values.mapInArrow(partial, "slice int, part binary"), np.bitwise_or, np.uint8, numbers // 8)
+
+
+def _has(map_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether a map has the places of the values."""
+    at = (values & np.uint64(8 * len(map_) - 1)).astype(np.int64)
+    return (map_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
 @dataclass
 class Plan:
-    """The allocation: class of each bucket of runs, subset size and rank of each class, anchors whose partitions are too large for subsets, and the subsets to be named in all."""
+    """The allocation: class of each bucket of runs, subset size and rank of each class, and the subsets to be named in all."""
 
     level: np.ndarray
     mode: np.ndarray
     rank: np.ndarray
-    large: np.ndarray
     postings: int
 
-    def sizes(self, kind: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-        """The subset size of partitions, by class and anchor alone, so that all records name the same subsets of one."""
-        return np.where(self.large[anchor.astype(np.int64)], np.minimum(self.mode[kind], 1), self.mode[kind])
-
     def single(self) -> Plan:
         """The same with single bits throughout, from rare to frequent."""
         return replace(self, mode=np.ones(CLASSES, np.int64), rank=np.arange(CLASSES))
@@ -337,86 +338,88 @@ def plan(found: DataFrame) -> Plan:
     single bits come from the table of runs, those on larger subsets from the
     subsets of sampled partitions in all records.
     """
-    level = np.minimum(np.log2(np.maximum(runs := table(found), 1)), CLASSES - 1).astype(np.uint8)
+    level = np.minimum(np.log2(np.maximum(runs := table(found), 1)) / np.log2(BASE), CLASSES - 1).astype(np.uint8)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, needed = np.zeros((3, CLASSES, 4)), 0
-        largest = np.zeros(ANCHORS, np.int64)
+        totals, needed = np.zeros((2, CLASSES, 4)), 0
         rows = lambda kind, s, what, n, m: pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(s, pa.int32()), pa.array(what, pa.int64()), pa.array(n, pa.float64()), pa.array(m, pa.float64())], names=["kind", "s", "what", "n", "m"])
         for key, unpacked in _batches(batches):
             owner, run, anchor, starts, sizes, kind = partitions(*unpacked, level)
-            np.maximum.at(largest, anchor[starts].astype(np.int64), sizes)
-            sampled = (sizes <= LARGEST) & ((anchor[starts] & np.uint64(SAMPLE - 1)) == 0)
+            sampled = (_mix(anchor[starts]) & np.uint64(SAMPLE - 1)) == 0
             needed += int(_needed(np.bincount(owner, minlength=len(key))).sum())
-            for s in (1, 2, 3):
+            k = sizes.astype(np.float64)
+            for s, many in ((1, k), (2, k * (k - 1) / 2), (3, k * (k - 1) * (k - 2) / 6)):
                 totals[0, :, s] += np.bincount(kind, weights=np.maximum(sizes - s + 1, 0), minlength=CLASSES)
-                fit = np.where(sizes <= LARGEST, sizes, 0).astype(np.float64)
-                totals[1, :, s] += np.bincount(kind, weights=fit if s == 1 else fit * (fit - 1) / 2 if s == 2 else fit * (fit - 1) * (fit - 2) / 6, minlength=CLASSES)
+                totals[1, :, s] += np.bincount(kind, weights=many, minlength=CLASSES)
                 if s > 1:
-                    where, what = subsets(run, starts, sizes, np.where(sampled, s, 0))
+                    where, what = subsets(run, starts, sizes, np.where(sampled & (sizes <= LARGEST[s]), s, 0))
                     what, first, n = np.unique(what, return_index=True, return_counts=True)
                     yield rows(kind[where[first]], np.full(len(what), s), what.view(np.int64) | 1, n, np.zeros(len(what)))
         yield rows(np.repeat(np.arange(CLASSES), 3), np.tile([1, 2, 3], CLASSES), np.zeros(3 * CLASSES, np.int64), totals[0, :, 1:].reshape(-1), totals[1, :, 1:].reshape(-1))
         yield rows(np.array([-1]), np.array([0]), np.zeros(1, np.int64), np.array([float(needed)]), np.zeros(1))
-        over = np.nonzero(largest > LARGEST)[0]
-        yield rows(np.full(len(over), -2), over, np.zeros(len(over), np.int64), np.ones(len(over)), np.zeros(len(over)))
 
     sums = found.select("key", "bits").mapInArrow(measure, "kind int, s int, what long, n double, m double").groupBy("kind", "s", "what").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    units, postings, pairs, needed, large = np.zeros((CLASSES, 4)), np.zeros((CLASSES, 4)), np.zeros((CLASSES, 4)), 0.0, np.zeros(ANCHORS, bool)
+    units, postings_, pairs, needed = np.zeros((CLASSES, 4)), np.zeros((CLASSES, 4)), np.zeros((CLASSES, 4)), 0.0
     for r in sums.groupBy("kind", "s").agg(F.sum(F.when(F.col("what") == 0, F.col("n"))).alias("units"), F.sum("m").alias("postings"), F.sum(F.when(F.col("what") != 0, F.col("n") * (F.col("n") - 1) / 2)).alias("pairs")).collect():
-        if r.kind == -1:
+        if r.kind < 0:
             needed = r.units
-        elif r.kind == -2:
-            large[r.s] = True
         else:
-            units[r.kind, r.s], postings[r.kind, r.s], pairs[r.kind, r.s] = r.units or 0, r.postings or 0, SAMPLE * (r.pairs or 0)
+            units[r.kind, r.s], postings_[r.kind, r.s], pairs[r.kind, r.s] = r.units or 0, r.postings or 0, SAMPLE * (r.pairs or 0)
     often = runs.astype(np.float64)
     pairs[:, 1] = np.bincount(level, weights=often * (often - 1) / 2, minlength=CLASSES)
-    cost = pairs + POSTING_COST * postings
+    cost = pairs + POSTING_COST * postings_
     mode = allocate(units, cost, needed * SLACK)
     own = np.arange(CLASSES)
     price = np.where(mode > 0, cost[own, mode] / np.maximum(units[own, mode], 1), np.inf)
-    log.info("near-duplicates: %d units needed; subset sizes by class of frequency (powers of two): %s", needed, {int(c): int(mode[c]) for c in own if units[c, 1]})
-    return Plan(level, mode, np.argsort(np.argsort(price, kind="stable"), kind="stable"), large, int(needed))
+    log.info("near-duplicates: %d units needed; subset sizes by class of frequency (powers of %d): %s", needed, BASE, {int(c): int(mode[c]) for c in own if units[c, 1]})
+    return Plan(level, mode, np.argsort(np.argsort(price, kind="stable"), kind="stable"), int(needed))
 
 
-def named(batches: Iterator[pa.RecordBatch], plan_: Plan, part: str = "all", among: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(subset of 40 bits, key of 48 bits, size of the set) of the subsets that the sets of `key, bits` name, batch by batch; the size is negative where a set does not name it as the smaller one.
+def named(batches: Iterator[pa.RecordBatch], plan_: Plan, part: str = "all", among: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(subset, key, size of the set, units before the partition, sketch in two halves) of the subsets that the sets of `key, bits` name, batch by batch; subset and key in 40 bits.
 
-    `part`: "all" sets by the plan; "short" ones only, that cannot reach their
-    threshold by it, by single bits; "rest", the others, by single bits as far as
-    the map `among` has them.
+    The sketch has the parity of the bits at each of 128 places, so two sets differ
+    in as many bits at least as their sketches do. It is 0, which tells nothing, for
+    subsets of the rarest class and for sets of more than `SKETCHED` bits.
+
+    `part`: "all" sets that can do so by the plan; "short" ones, which cannot
+    reach their threshold by it or have a partition too large for its subsets, by
+    single bits; "rest", the first again, by single bits as far as the map `among`
+    has them.
     """
     by = plan_ if part == "all" else plan_.single()
     for key, (owner, run, anchor) in _batches(batches):
         many = len(key)
         count = np.bincount(owner, minlength=many)
-        if part != "all":
-            _, mine, heads, _, sizes, kind = _placed(owner, run, anchor, plan_)
-            s = plan_.sizes(kind, heads)
-            lacking = np.bincount(mine, weights=np.where(s > 0, np.maximum(sizes - s + 1, 0), 0), minlength=many) < _needed(count)
-            keep = (lacking if part == "short" else ~lacking)[owner]
-            owner, run, anchor = owner[keep], run[keep], anchor[keep]
-            if not len(owner):
-                continue
-        run, mine, heads, starts, sizes, kind = _placed(owner, run, anchor, by)
-        s = by.sizes(kind, heads)
-        units = np.where(s > 0, np.maximum(sizes - s + 1, 0), 0)
+        _, mine, _, sizes, s, units, _ = _placed(owner, run, anchor, plan_)
+        short = np.bincount(mine, weights=units, minlength=many) < _needed(count)
+        short[mine[(s > 0) & (sizes > LARGEST[s])]] = True
+        keep = (short if part == "short" else ~short)[owner]
+        if not keep.any():
+            continue
+        heads = np.cumsum(count) - count
+        mixed = _mix(run * _M2 + _M3)
+        place, half = np.uint64(1) << (mixed >> np.uint64(58)), (mixed >> np.uint64(57)) & np.uint64(1)
+        small = np.where(count <= SKETCHED, np.uint64(2**64 - 1), np.uint64(0))
+        s1, s2 = (np.bitwise_xor.reduceat(np.where(half == h, place, np.uint64(0)), heads) & small for h in (0, 1))
+        run, mine, starts, sizes, s, units, kind = _placed(owner[keep], run[keep], anchor[keep], by)
         before = np.cumsum(units) - units
         first = np.searchsorted(mine, np.arange(many))
         reach = before - before[np.minimum(first, len(before) - 1)][mine]
         where, what = subsets(run, starts, sizes, np.where(reach < _needed(count)[mine], s, 0))
         if among is not None:
-            some = among[(what & np.uint64(WHAT_BUCKETS - 1)).astype(np.int64)]
+            some = _has(among, what)
             where, what = where[some], what[some]
         of = mine[where]
-        yield what & np.uint64(2**40 - 1), key[of].view(np.uint64) >> np.uint64(16), np.where(reach[where] < _needed(count, 3)[of], count[of], -count[of])
+        often = np.where(kind[where] > 0, np.uint64(2**64 - 1), np.uint64(0))
+        yield what & np.uint64(2**40 - 1), key[of].view(np.uint64) >> np.uint64(24), count[of], reach[where], s1[of] & often, s2[of] & often
 
 
 def _placed(owner: np.ndarray, run: np.ndarray, anchor: np.ndarray, plan_: Plan) -> tuple[np.ndarray, ...]:
-    """(bits; record, anchor, start, size and class of each partition), in the plan's order."""
-    owner, run, anchor, starts, sizes, kind = partitions(owner, run, anchor, plan_.level, plan_.rank)
-    return run, owner[starts], anchor[starts], starts, sizes, kind
+    """(bits; record, start, size, size of subsets, units and class of each partition), in the plan's order."""
+    owner, run, _, starts, sizes, kind = partitions(owner, run, anchor, plan_.level, plan_.rank)
+    s = plan_.mode[kind]
+    return run, owner[starts], starts, sizes, s, np.where(s > 0, np.maximum(sizes - s + 1, 0), 0), kind
 
 
 def heavy(found: DataFrame, plan_: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -429,7 +432,7 @@ def heavy(found: DataFrame, plan_: Plan) -> tuple[np.ndarray, np.ndarray]:
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = (b.filter(pa.array((b.column(0).to_numpy(zero_copy_only=False) & 15) == 0)) for b in batches)
-        for what, _, _ in named(some, plan_):
+        for what, *_ in named(some, plan_):
             what, n = np.unique(what, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(what.view(np.int64)), pa.array(n, pa.int64())], names=["what", "n"])
 
@@ -438,121 +441,171 @@ def heavy(found: DataFrame, plan_: Plan) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.what for r in rows], np.uint64), np.array([-(-16 * r.n // HOT) for r in rows], np.int64)
 
 
-def _salted(what: np.ndarray, key: np.ndarray, n: np.ndarray, hot: np.ndarray, groups_: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Postings with those of heavy subsets spread: each of g groups of sets meets itself and every other one under a subset of its own. (what, key, size, side): sides are 0 within a group, 1 and 2 between two."""
+def _salted(posting: tuple[np.ndarray, ...], hot: np.ndarray, groups_: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Postings with those of heavy subsets spread: each of g groups of sets meets itself and every other one under a subset of its own. The side last: 0 within a group, 1 and 2 between two."""
+    what, key = posting[:2]
     side = np.zeros(len(what), np.uint8)
-    if not len(hot):
-        return what, key, n, side
-    at = np.minimum(np.searchsorted(hot, what), len(hot) - 1)
-    is_hot = hot[at] == what
-    if not is_hot.any():
-        return what, key, n, side
-    out = [(what[~is_hot], key[~is_hot], n[~is_hot], side[~is_hot])]
-    what, key, n, g = what[is_hot], key[is_hot], n[is_hot], groups_[at[is_hot]]
-    own = (_mix(key * _M1 + _M2) % g.astype(np.uint64)).astype(np.int64)
-    copy = np.repeat(np.arange(len(what)), g)
+    at = np.minimum(np.searchsorted(hot, what), len(hot) - 1) if len(hot) else None
+    if at is None or not (is_hot := hot[at] == what).any():
+        return *posting, side
+    g = groups_[at[is_hot]]
+    own = (_mix(key[is_hot] * _M1 + _M2) % g.astype(np.uint64)).astype(np.int64)
+    copy = np.repeat(np.nonzero(is_hot)[0], g)
     other = np.arange(len(copy)) - np.repeat(np.cumsum(g) - g, g)
-    mine = own[copy]
+    mine = np.repeat(own, g)
     low, high = np.minimum(mine, other), np.maximum(mine, other)
     fresh = _mix(what[copy] * _M3 + low.astype(np.uint64) * _M1 + high.astype(np.uint64) * _M2 + np.uint64(1)) & np.uint64(2**40 - 1)
-    out.append((fresh, key[copy], n[copy], np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.uint8)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    spread = fresh, *(x[copy] for x in posting[1:]), np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.uint8)
+    return tuple(np.concatenate([x[~is_hot], y]) for x, y in zip((*posting, side), spread, strict=True))
+
+
+def _packed(bucket: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    """`bucket, sketched, packed`: a row per bucket with the numbers of each column in planes of bytes, as many as given; the first column rises within a bucket and is kept as steps."""
+    starts = np.nonzero(np.diff(bucket, prepend=-1))[0]
+    ends = np.append(starts[1:], len(bucket))
+    first = columns[0][0]
+    steps = first - np.concatenate([np.zeros(1, first.dtype), first[:-1]])
+    steps[starts] = first[starts]
+    planes = np.concatenate([x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :k] for x, k in [(steps, columns[0][1]), *columns[1:]]], axis=1)
+    packed = [np.ascontiguousarray(planes[a:b].T).tobytes() for a, b in zip(starts, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), len(columns) == len(_POSTING + _SKETCH))), pa.array(packed, pa.binary())], names=["bucket", "sketched", "packed"])
+
+
+def _unpacked(packed: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The columns of one `packed`."""
+    p = np.frombuffer(packed, np.uint8).reshape(sum(widths), -1)
+    out, at = [], 0
+    for k in widths:
+        out.append(sum((p[at + i].astype(np.uint64) << np.uint64(8 * i) for i in range(k)), np.zeros(p.shape[1], np.uint64)))
+        at += k
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+#: Bytes of the columns of postings (subset, key, size, units before, flags) and of pairs (a, b, subsets shared, subsets to share).
+_POSTING, _PAIR = (5, 5, 4, 4, 1), (5, 5, 2, 2)
+#: Bytes of a sketch, which postings of frequent subsets have besides.
+_SKETCH = (8, 8)
 
 
 def postings(found: DataFrame, plan_: Plan, buckets: int, hot: tuple[np.ndarray, np.ndarray], part: str = "all", among: np.ndarray | None = None, tag: bool = False) -> DataFrame:
-    """`bucket, packed`: what the sets name, by ranges of subsets, sorted and packed in planes of bytes: 16 bytes a posting, most of the upper ones alike. `tag` marks them."""
+    """`bucket, sketched, packed`: what the sets name, by ranges of subsets; `tag` marks them. Of the 19 bytes of a posting, the upper ones of most columns are alike and compress."""
 
-    def pack(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        what, key, n, side = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def pack(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        what, key, n, reach, s1, s2, side = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(what, kind="stable")
-        what, key, n, side = what[order], key[order], n[order], side[order]
-        bucket = ((what * np.uint64(buckets)) >> np.uint64(40)).astype(np.int64)
-        starts = np.nonzero(np.diff(bucket, prepend=-1))[0]
-        ends = np.append(starts[1:], len(bucket))
-        flags = (side | np.where(n < 0, 4, 0) | (8 if tag else 0)).astype(np.uint8)
-        planes = np.concatenate([what.view(np.uint8).reshape(-1, 8)[:, 4::-1], key.view(np.uint8).reshape(-1, 8)[:, :6], np.abs(n).astype(np.uint32).view(np.uint8).reshape(-1, 4), flags[:, None]], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([np.ascontiguousarray(planes[a:b].T).tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["bucket", "packed"])
+        for some in (order[(s1 | s2)[order] == 0], order[(s1 | s2)[order] != 0]):
+            if not len(some):
+                continue
+            columns = [(what, 5), (key, 5), (n, 4), (reach, 4), (side | (4 if tag else 0), 1)] + [(s1, 8), (s2, 8)] * bool((s1 | s2)[some[:1]].any())
+            yield _packed(((what[some] * np.uint64(buckets)) >> np.uint64(40)).astype(np.int64), [(x[some], k) for x, k in columns])
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for one in named(batches, plan_, part, among):
-            held.append(_salted(*one, *hot))
+            held.append(_salted(one, *hot))
             many += len(held[-1][0])
             if many > POSTINGS:
-                yield pack(held)
+                yield from pack(held)
                 held, many = [], 0
         if many:
-            yield pack(held)
+            yield from pack(held)
 
-    return found.select("key", "bits").mapInArrow(run_, "bucket int, packed binary")
+    return found.select("key", "bits").mapInArrow(run_, "bucket int, sketched boolean, packed binary")
 
 
-def candidates(packed: DataFrame, buckets: int, tagged: bool = False) -> DataFrame:
-    """`a, b` (keys of 48 bits, a < b) of the sets that may be similar: the smaller names a subset as such that the larger names too, and they share enough.
+def _counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(a, b, count, shares) with the counts of equal pairs added up."""
+    a, b, c, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((b, a))
+    a, b, c, s = a[order], b[order], c[order], s[order]
+    starts = np.nonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[0]
+    return a[starts], b[starts], np.add.reduceat(c, starts), s[starts]
+
 
-    The larger must be within twice the smaller, and both must share more subsets
-    than the surplus, or as many bits as similar sets of their sizes have in
-    common, (|A| + |B|) / 3, where that is less. A bucket is one partition of
-    about `POSTINGS` postings whatever the input; it counts what its pairs share
-    before they leave it. `tagged`: at least one of the two is tagged.
+def candidates(packed: DataFrame, buckets: int, tagged: bool = False) -> DataFrame:
+    """`a, b` (keys of 40 bits, a < b) of the sets that may be similar.
+
+    The larger must be within twice the smaller. Similar sets share at least a
+    third of both sizes together, so as many subsets as the surplus and one are
+    shared within that many units and those of the bits that each may lack; pairs
+    are counted on no others, and must reach that number (or that third, where it
+    is less). A bucket is one partition of about `POSTINGS` postings whatever the
+    input; it counts what its pairs share before they go, packed, to buckets of
+    pairs. `tagged`: at least one of the two is tagged.
     """
 
-    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = [np.frombuffer(x, np.uint8).reshape(16, -1) for b in batches for x in b.column(1).to_pylist()]
-        if not planes:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for sketched, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                columns = _unpacked(x, _POSTING + _SKETCH * sketched)
+                parts.append(columns if sketched else [*columns, *[np.zeros(len(columns[0]), np.uint64)] * 2])
+        if not parts:
             return
-        p = np.concatenate(planes, axis=1)
-        del planes
-        number = lambda rows: sum((p[r].astype(np.uint64) << np.uint64(8 * i) for i, r in enumerate(rows)), np.uint64(0))
-        what, key, n, flags = number((4, 3, 2, 1, 0)), number(range(5, 11)), number(range(11, 15)).astype(np.int64), p[15]
-        del p
+        what, key, n, reach, flags, s1, s2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         order = np.lexsort((key, flags, what))
-        what, key, n, flags = what[order], key[order], n[order], flags[order]
         new = np.ones(len(what), bool)
-        new[1:] = (what[1:] != what[:-1]) | (key[1:] != key[:-1]) | (flags[1:] != flags[:-1])  # equal sets of several tasks
-        what, key, n, flags = what[new], key[new], n[new], flags[new]
-        ends = np.searchsorted(what, what, "right")
-        later = ends - np.arange(len(what)) - 1
+        w, k, f = what[order], key[order], flags[order]
+        new[1:] = (w[1:] != w[:-1]) | (k[1:] != k[:-1]) | (f[1:] != f[:-1])  # equal sets of several tasks
+        order = order[new]
+        what, key, n, reach, flags, s1, s2 = what[order], key[order], n[order].astype(np.int64), reach[order].astype(np.int64), flags[order].astype(np.uint8), s1[order], s2[order]
+        del w, k, f, new, order
+        later = np.searchsorted(what, what, "right") - np.arange(len(what)) - 1
         upto = np.cumsum(later)
-        at, seen = 0, []
-        surplus = _surplus(np.arange(int(n.max()) + 1)) + 1 if len(n) else np.zeros(1)
 
-        def counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-            a, b, c, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((b, a))
-            a, b, c, s = a[order], b[order], c[order], s[order]
-            starts = np.nonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[0]
-            return a[starts], b[starts], np.add.reduceat(c, starts), s[starts]
+        def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            a, b, c, s = _counted(parts)
+            bucket = ((_mix(a * _M1 + b * _M2) >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            return _packed(bucket[order], [(x[order], k) for x, k in zip((a, b, np.minimum(c, 65535), s), _PAIR, strict=True)])
 
-        def out(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            a, b, c, s = part
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(c, pa.int32()), pa.array(s, pa.int32())], names=["a", "b", "shared", "shares"])
-
-        held = 0
+        at, seen, held = 0, [], 0
         while at < len(what):
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
             many = later[at:to]
             left = np.repeat(np.arange(at, to), many)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
             at = to
-            swap = (n[left] > n[right]) | ((n[left] == n[right]) & (key[left] > key[right]))
+            swap = n[left] > n[right]
             small, big = np.where(swap, right, left), np.where(swap, left, right)
-            fit = (n[big] <= 2 * n[small]) & ((flags[small] & 4) == 0) & (key[small] != key[big]) & (((flags[small] & 3) == 0) | ((flags[small] & 3) != (flags[big] & 3)))
+            fit = (n[big] <= 2 * n[small]) & (key[small] != key[big]) & (((flags[small] & 3) == 0) | ((flags[small] & 3) != (flags[big] & 3)))
             if tagged:
-                fit &= ((flags[small] | flags[big]) & 8) != 0
+                fit &= ((flags[small] | flags[big]) & 4) != 0
             small, big = small[fit], big[fit]
+            p, q = n[small], n[big]
+            shares = _surplus(p) + 1
+            fit = (reach[small] < (2 * p - q) // 3 + shares) & (reach[big] < (2 * q - p) // 3 + shares)
+            a1, a2, b1, b2 = s1[small], s2[small], s1[big], s2[big]
+            known = ((a1 | a2) != 0) & ((b1 | b2) != 0)
+            fit &= ~known | (3 * (np.bitwise_count(a1 ^ b1).astype(np.int64) + np.bitwise_count(a2 ^ b2)) <= p + q)
+            small, big, shares = small[fit], big[fit], np.minimum(shares, -(-(p + q) // 3))[fit]
             if len(small):
-                shares = np.minimum(surplus[n[small]], -(-(n[small] + n[big]) // 3))
-                seen.append(counted([(np.minimum(key[small], key[big]), np.maximum(key[small], key[big]), np.ones(len(small), np.int64), shares)]))
+                seen.append(_counted([(np.minimum(key[small], key[big]), np.maximum(key[small], key[big]), np.ones(len(small), np.int64), shares)]))
                 held += len(seen[-1][0])
-            if held > PAIRS:
-                yield out(counted(seen))
-                held, seen = 0, []
+            if held > 4 * PAIRS:
+                yield out(seen)
+                seen, held = [], 0
         if held:
-            yield out(counted(seen))
+            yield out(seen)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, most = [], 0, 8 * PAIRS
+        for batch in batches:
+            for x in batch.column(2).to_pylist():
+                seen.append(tuple(y if i < 2 else y.astype(np.int64) for i, y in enumerate(_unpacked(x, _PAIR))))
+                held += len(seen[-1][0])
+                if held > most:
+                    seen = [_counted(seen)]
+                    held = len(seen[0][0])
+                    most = max(8 * PAIRS, 2 * held)
+        if seen:
+            a, b, c, s = _counted(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(x[c >= s].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    met = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run_, "a long, b long, shared int, shares int")
-    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("shares").alias("shares")).where("shared >= shares").select("a", "b")
+    met = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "bucket int, sketched boolean, packed binary")
+    return met.repartitionById(buckets, F.col("bucket")).mapInArrow(count, "a long, b long")
 
 
 def similar_sets(records: DataFrame, size: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -565,26 +618,24 @@ def similar_sets(records: DataFrame, size: int = 3) -> tuple[DataFrame, DataFram
     by = plan(found)
     buckets = 1 + by.postings // POSTINGS
     pairs = cut(candidates(postings(found, by, buckets, heavy(found, by)), buckets))
-    if (by.mode != 1).any():
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        wanting = bitmap(found.select("key", "bits").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(w.view(np.int64))], names=["what"]) for w, _, _ in named(bs, by, "short")), "what long"), WHAT_BUCKETS)
-        if wanting.any():
-            hot = heavy(found, by.single()) if wanting.mean() > 0.01 else none
-            both = postings(found, by, buckets, hot, "short", tag=True).unionByName(postings(found, by, buckets, hot, "rest", among=wanting))
-            pairs = cut(pairs.unionByName(candidates(both, buckets, tagged=True)).distinct())
+    whats = lambda batches: (pa.RecordBatch.from_arrays([pa.array(w.view(np.int64))], names=["what"]) for w, *_ in named(batches, by, "short"))
+    wanting = bitmap(found.select("key", "bits").mapInArrow(whats, "what long"), WHAT_BUCKETS)
+    if wanting.any():
+        hot = heavy(found, by.single())
+        both = postings(found, by, buckets, hot, "short", tag=True).unionByName(postings(found, by, buckets, hot, "rest", among=wanting))
+        pairs = cut(pairs.unionByName(candidates(both, buckets, tagged=True)).distinct())
     wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("k")), KEY_BUCKETS)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
-            short = (key.view(np.uint64) >> np.uint64(16)).view(np.int64)
-            mask = pa.array(wanted[short & (KEY_BUCKETS - 1)])
-            some = [np.frombuffer(x, dtype=np.uint8).reshape(-1, 7)[:, 2:].tobytes() for x in batch.column(1).filter(mask).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(key).filter(mask), pa.array(short).filter(mask), pa.array(some, pa.binary())], names=["key", "k", "bits"])
+            short = key.view(np.uint64) >> np.uint64(24)
+            mask = pa.array(_has(wanted, short))
+            yield pa.RecordBatch.from_arrays([pa.array(key).filter(mask), pa.array(short.view(np.int64)).filter(mask), batch.column(1).filter(mask)], names=["key", "k", "bits"])
 
     def wide(packed: bytes) -> np.ndarray:
-        out = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
-        out[:, :5] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
+        out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
+        out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
         return out.reshape(-1).view(np.uint64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

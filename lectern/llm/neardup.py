@@ -221,8 +221,8 @@ def allocate(units: np.ndarray, candidates: np.ndarray, needed: float, steps: in
 
 
 def _surplus(sizes: np.ndarray) -> np.ndarray:
-    """Units beyond the pigeonhole's, so that similar sets share several subsets: two thirds of the root of the size."""
-    return (np.sqrt(sizes) * 2 / 3).astype(np.int64)
+    """Units beyond the pigeonhole's, so that similar sets share several subsets: half the root of the size."""
+    return (np.sqrt(sizes) / 2).astype(np.int64)
 
 
 def _needed(sizes: np.ndarray, divisor: int = 2) -> np.ndarray:

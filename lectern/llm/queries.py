@@ -67,11 +67,11 @@ def p4_groups(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return quality.not_prose(read(spark, root, "documents"))
+    return quality.not_prose(read(spark, root, "documents"), read(spark, root, "quality_labels"))
 
 
 def p5_statistics(spark: SparkSession, root: str) -> DataFrame:
-    return quality.statistics(read(spark, root, "documents"))
+    return quality.statistics(read(spark, root, "documents")).drop("text_hash", "residue")
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

@@ -221,34 +221,56 @@ def test_allocation_is_the_best_choice():
 # ---- 5
 
 
-def test_quality(spark):
-    prose = "The question, then, is whether the readers of a book can follow it to the end.\nIt is not the first of them, and it was kept in the hall."
-    rows = [(1, prose, "en"), (2, "| a | 1 |\n| b | 22 |\n| c | 3 |", "EN"), (3, "asdf jkl; asdf jkl; qwer zxcv asdf", None), (4, "", "en"), (5, None, "en"), (6, " \n", "en"), (7, "Lorem ipsum dolor sit amet ipsum dolor.", "en"), (8, "x" * 20000, "en")] + [(100 + i, prose + f" And this is number {i} of the row.", "en-GB") for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    s = {r.doc_id: r for r in quality.statistics(df).collect()}
-    assert s[1].n_words == 30 and s[1].punctuated_lines == 1.0 and s[1].common_share > 0.5 and s[5].n_words == 0 and s[2].lang_norm == "en" and s[3].lang_norm == "und"
-    assert s[2].mean_word_length == pytest.approx(16 / 15)
-    found = {r.doc_id for r in quality.not_prose(df, least_score=0.0).collect()}
-    assert found == {2, 3, 8}
-    assert quality.not_prose(df.limit(0)).count() == 0
+PROSE = "The question, then, is whether the readers of a book can follow it to the end.\nIt is not the first of them, and it was kept in the hall."
+
+
+def quality_docs(spark, n=150):
+    rng = random.Random(4)
+    words = "the readers of a book and its margins were kept in that hall for years while archive copies moved to new rooms under old names".split()
+
+    def prose(i):
+        return "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(8, 14))).capitalize() + ", and so it was kept." for _ in range(4))
 
+    rows = [(i, prose(i), "en", "prose") for i in range(n)]
+    rows += [(1000 + i, "\n".join(f"| {rng.randrange(999)} | {rng.randrange(99)} |" for _ in range(5)), "en", "table") for i in range(30)]
+    rows += [(2000 + i, "".join(rng.choice("asdfjkl qwx;") for _ in range(150)), "en", "junk") for i in range(30)]
+    return rows
 
-def test_frequent_outliers_and_small_languages_are_found(spark):
-    prose = "The question, then, is whether the readers of a book can follow it to the end.\nIt is not the first of them, and it was kept in the hall."
-    table = "| a | 1 |\n| b | 22 |\n| c | 3 |"
-    rows = [(i, table, "en") for i in range(30)] + [(30, table, "de"), (31, table, "Englisch"), (32, "\t\u00a0\n", "en")] + [(100 + i, prose + f" And this is number {i} of the row.", "en") for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert sorted(r.doc_id for r in quality.not_prose(df).collect()) == list(range(32))
+
+def test_quality(spark):
+    rows = quality_docs(spark)
+    rows += [(3000 + i, rows[150][1], "en", None) for i in range(100)]  # a table that a third of the rows are
+    rows += [(4000, rows[151][1], "de", None), (4001, rows[152][1], "Englisch", None), (4002, rows[153][1], None, None), (5000, rows[0][1], "fr", None)]
+    rows += [(6000, "", "en", None), (6001, None, "en", None), (6002, " \n", "en", None), (6003, "Lorem ipsum dolor sit amet ipsum dolor.", "en", None), (6004, "x" * 20000, "en", None), (1000, rows[150][1], "en", None)]
+    df = spark.createDataFrame([r[:3] + (1,) for r in rows], "doc_id long, text string, lang string, score int")
+    labels = spark.createDataFrame([(r[0], r[3], "a") for r in rows if r[3]] + [(None, "prose", "a"), (7, None, "a")], "doc_id long, label string, annotator string")
+    s = {r.doc_id: r for r in quality.statistics(df).collect()}
+    assert s[6001].n_words == 0 and s[6001].common_share == 0 and s[4001].lang_norm == "und" and s[6003].residue == "filler"
+    assert s[1000].mean_word_length == pytest.approx(sum(map(len, rows[150][1].split())) / len(rows[150][1].split()))
+    found = {r.doc_id for r in quality.not_prose(df, labels).collect()}
+    assert {1000 + i for i in range(30)} | {2000 + i for i in range(30)} | {3000 + i for i in range(100)} | {4000, 4001, 4002} <= found
+    assert not found & {*range(150), 5000, 6000, 6001, 6002, 6003}
+    assert len({r.doc_id for r in quality.not_prose(df, labels, least_score=-1e9).collect()}) > len(found)  # the score decides
+    assert quality.not_prose(df.limit(0), labels).count() == 0 and quality.not_prose(df, labels.limit(0)).count() < 400
 
 
 def test_ranks_are_exact(spark):
     rng = random.Random(3)
     rows = [("en", rng.randrange(5)) for _ in range(300)] + [("de", rng.randrange(100)) for _ in range(50)]
     columns = {s: F.col("v").cast("double") for s in quality.STATISTICS if s != "n_words"}
-    df = spark.createDataFrame([(i, a, v) for i, (a, v) in enumerate(rows)], "doc_id long, lang_norm string, v int").withColumn("n_words", F.lit(3)).withColumns(columns)
+    df = spark.createDataFrame([(i, i, a, v) for i, (a, v) in enumerate(rows)], "doc_id long, text_hash long, lang_norm string, v int").withColumn("n_words", F.lit(3)).withColumns(columns)
     for r in quality.ranks(df).where("stat = 'symbol_ratio'").collect():
-        own = [v for a, v in rows if a == r.lang_norm]
+        own = [v for a, v in rows if r.lang_norm in (a, "und")]
         assert r.left == pytest.approx(sum(v <= r.value for v in own) / len(own)) and r.right == pytest.approx(sum(v >= r.value for v in own) / len(own))
+    got = {r.doc_id: r for r in quality.surprises(df).collect()}
+    for i, (a, v) in enumerate(rows):
+        own = [x for b, x in rows if a == b]
+        assert got[i].high_symbol_ratio == pytest.approx(-np.log(sum(x >= v for x in own) / len(own)))
+
+
+def test_common_words_are_counted(spark):
+    df = spark.createDataFrame([("en", "the The, cat"), ("en", "the dog"), (None, None), ("de", "der")], "lang string, text string")
+    assert quality.common_words(df, ["en"], most=1) == {"en": {"the"}, "und": {"the", "der"}}
 
 
 def test_ranged_prefix_with_a_hot_key(spark):

@@ -62,7 +62,7 @@ SKETCHED = 110
 #: How far the thresholds overshoot on average, so that few records fall short.
 SLACK = 1.3
 #: Cost of naming a subset, in pairs to be looked at.
-POSTING_COST = 1
+POSTING_COST = 20
 #: Classes of partitions: the frequency of their bits by powers of `BASE`.
 BASE, CLASSES = 4, 20
 #: Postings of a bucket, and pairs looked at at once.
@@ -221,8 +221,8 @@ def allocate(units: np.ndarray, candidates: np.ndarray, needed: float, steps: in
 
 
 def _surplus(sizes: np.ndarray) -> np.ndarray:
-    """Units beyond the pigeonhole's, so that similar sets share several subsets: half the root of the size."""
-    return (np.sqrt(sizes) / 2).astype(np.int64)
+    """Units beyond the pigeonhole's, so that similar sets share several subsets: two thirds of the root of the size."""
+    return (np.sqrt(sizes) * 2 / 3).astype(np.int64)
 
 
 def _needed(sizes: np.ndarray, divisor: int = 2) -> np.ndarray:
@@ -406,7 +406,8 @@ def named(batches: Iterator[pa.RecordBatch], plan_: Plan, part: str = "all", amo
         before = np.cumsum(units) - units
         first = np.searchsorted(mine, np.arange(many))
         reach = before - before[np.minimum(first, len(before) - 1)][mine]
-        where, what = subsets(run, starts, sizes, np.where(reach < _needed(count)[mine], s, 0))
+        left = _needed(count)[mine] - reach
+        where, what = subsets(run, starts, np.minimum(sizes, np.maximum(left, 0) + s - 1), np.where(left > 0, s, 0))  # of the last partition only as many bits as give the units still needed
         if among is not None:
             some = _has(among, what)
             where, what = where[some], what[some]

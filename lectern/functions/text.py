@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blanks of any kind at either end (fixed pattern).
 _ENDS = r"(?U)^\s+|\s+$"
-#: Words that open a heading (fixed values).
-HEADING_WORDS = "Acknowledgments? Contents Introduction Conclusion Preface Prologue Epilogue Afterword Foreword Bibliography References Notes Appendix Glossary Index Abstract Summary Dedication Epigraph Chapter Part Section".split()
+#: What opens a heading (fixed values).
+HEADING_WORDS = "Acknowledgments?|Contents|Table of Contents|Introduction|Conclusion|Preface|Prologue|Epilogue|Afterword|Foreword|Bibliography|References|Notes|Appendix|Glossary|Index|Abstract|Summary|Dedication|Epigraph|Chapter|Part|Section"
 #: Marks of front matter (fixed values).
 FRONT_MATTER = (
     "isbn", "copyright", "all rights reserved", "library of congress", "cataloging.in.publication", "printed in", "typeset", r"press\.", r"\d{3}-\d{1,5}-\d{1,7}-\d{1,7}-\d{1}",
@@ -19,8 +21,6 @@ FRONT_MATTER = (
 )
 #: Where the main text of a book begins (fixed pattern).
 INTRODUCTION = r"(?im)^(Introduction|Chapter\s+1|Part\s+(One|1|I)\b|1\s+[A-Z])"
-#: Named entities of HTML and their characters (fixed values); `&amp;` is resolved last.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&copy;": "©", "&middot;": "·", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
 
 
 def strip(c: Column) -> Column:
@@ -96,7 +96,7 @@ def is_heading(c: Column) -> Column:
     n = F.size(F.split(t, r"(?U)\s+"))
     fits = (t != "") & (F.length(t) <= 100) & ~t.rlike(r"[.,;]$") & (n <= 12)
     numbered = t.rlike(r"^\d+\s+[A-Z]") & (F.length(t) < 80)
-    named = t.rlike(r"(?i)^(" + "|".join(HEADING_WORDS) + r"|Table of Contents)\b") & (n <= 8)
+    named = t.rlike(rf"(?i)^({HEADING_WORDS})\b") & (n <= 8)
     capitals = (t == F.upper(t)) & t.rlike("[A-Z]") & (F.length(t) > 2) & (F.length(t) < 60) & (n <= 6)
     return F.coalesce(fits & (numbered | named | capitals), F.lit(False))
 
@@ -118,18 +118,50 @@ def opens_main_text(c: Column) -> Column:
     return F.coalesce(F.substring(strip(c), 1, 200).rlike(INTRODUCTION), F.lit(False))
 
 
-def _replacing(entity: str, char: str) -> Callable[[Column], Column]:
-    return lambda x: F.replace(x, F.lit(entity), F.lit(char))
+#: Markup: comments, declarations, scripts and styles with what they hold, and tags, whose attributes may hold `>` in quotes.
+_MARKUP = r"""(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style)\b.*?</\1\s*>|<[a-z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[a-z/!?][^>]*>"""
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point; those from 128 to 159 stand for what windows-1252 has there, and what is none for U+FFFD."""
+    known = {i: bytes([i]).decode("cp1252", "replace") for i in range(128, 160)}
+    odd = reduce(lambda other, i: F.when(number == i, F.lit(known[i])).otherwise(other), [i for i in known if known[i] != "\ufffd"], F.lit(None).cast("string"))
+    valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    return F.coalesce(odd, F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
+
+
+def unescape(c: Column) -> Column:
+    """The text with the references of HTML resolved: all named ones of the standard, and decimal and hexadecimal ones. What is no reference stays as it is.
+
+    Each piece behind an `&` is looked at once, so what a reference yields is not read again.
+    """
+    names = F.create_map(*[F.lit(x) for name, char in html5.items() if name.endswith(";") for x in (name[:-1], char)])
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)  # those that need no semicolon
+
+    def piece(x: Column) -> Column:
+        code = F.regexp_extract(x, r"^#([0-9]{1,8});?", 1)
+        hexed = F.regexp_extract(x, r"^#[xX]([0-9a-fA-F]{1,7});?", 1)
+        name = F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        short = F.regexp_extract(x, "^(" + "|".join(bare) + ")", 1)
+        long = F.when(name != "", names[name])
+        return (
+            F.when(code != "", F.concat(_character(code.cast("long")), F.regexp_replace(x, r"^#[0-9]{1,8};?", "")))
+            .when(hexed != "", F.concat(_character(F.conv(hexed, 16, 10).cast("long")), F.regexp_replace(x, r"^#[xX][0-9a-fA-F]{1,7};?", "")))
+            .when(long.isNotNull(), F.concat(long, x.substr(F.length(name) + 2, F.length(x))))
+            .when(short != "", F.concat(names[short], x.substr(F.length(short) + 1, F.length(x))))
+            .otherwise(F.concat(F.lit("&"), x))
+        )
+
+    parts = F.split(c, "&", -1)
+    resolved = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+    return F.when(F.contains(c, F.lit("&")), resolved).otherwise(c)
 
 
 def html_to_text(c: Column) -> Column:
-    """The visible text nodes of HTML, stripped, without blanks ones, joined by line feeds; entities resolved."""
+    """The visible text nodes of HTML, stripped, without blank ones, joined by line feeds; references resolved."""
     gap = "\x00"
-    bare = F.regexp_replace(c, r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style)\b.*?</\1\s*>|<[a-z/!?][^>]*>", gap)
-    nodes = F.split(bare, gap)
-    for entity, char in ENTITIES.items():
-        nodes = F.transform(nodes, _replacing(entity, char))
-    return F.array_join(F.filter(F.transform(nodes, strip), lambda x: x != ""), "\n")
+    nodes = F.split(F.regexp_replace(c, _MARKUP, gap), gap)
+    return F.array_join(F.filter(F.transform(F.filter(nodes, lambda x: F.trim(x) != ""), lambda x: strip(unescape(x))), lambda x: x != ""), "\n")
 
 
 def json_part(c: Column, schema: str, array: bool = True) -> Column:
@@ -228,6 +260,6 @@ def heading_line(line: str) -> bool:
         return False
     if re.match(r"\d+\s+[A-Z]", t) and len(t) < 80:
         return True
-    if n <= 8 and re.match(r"(?:" + "|".join(HEADING_WORDS) + r"|Table of Contents)\b", t, re.IGNORECASE):
+    if n <= 8 and re.match(rf"(?:{HEADING_WORDS})\b", t, re.IGNORECASE):
         return True
     return t == t.upper() and bool(re.search("[A-Z]", t)) and 2 < len(t) < 60 and n <= 6

@@ -6,6 +6,7 @@ connection. Answers are kept by key, and only keys without one are asked for.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,6 +19,9 @@ from lectern.functions.text import json_part
 ARGUMENTS = 'Read this sample of "{title}" by {author} ({year}) and name three to five arguments it makes, as a JSON array of objects with "summary" and "elaboration".\n\n{context}'
 SYNTHESIS = 'Compare how these passages define their terms. Answer with a JSON object of "text_synthesis", "technology_synthesis" and "comparative".\n\n{context}'
 
+GLOSSARY_ENTRY = 'Write an entry for the term "{term}" from these passages. Answer with a JSON object of "definition", "usage_notes" and "related_terms".\n\n{context}'
+FRAMEWORK_SUMMARY = 'Say how the framework "{framework}" is used in these passages and by whom. Books: {books}. Answer with a JSON object of "summary", "key_concepts" and "key_scholars".\n\n{context}'
+
 
 def book_sample(pages: DataFrame, n_pages: int = 20, size: int = 15000) -> DataFrame:
     """`book_id, context`: the first pages of a book, joined by blank lines and cut. Pages beyond the first are dropped before they are shuffled together."""
@@ -38,6 +42,31 @@ def term_context(compared: DataFrame, definitions: DataFrame, n: int = 15) -> Da
     return lines.groupBy("term").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda p: p["line"]), "\n").alias("context"))
 
 
+def _quoted(passages: DataFrame, key: str, n: int) -> DataFrame:
+    """`key, context`: the first `n` passages of each key, by `position`, as blocks parted by blank lines."""
+    line = F.concat(F.lit('From "'), F.col("title"), F.lit('" by '), F.col("author"), F.lit(': "'), F.col("excerpt"), F.lit('"'))
+    lines = passages.where(F.col("position") <= n).select(key, "position", line.alias("line"))
+    return lines.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda p: p["line"]), "\n\n").alias("context"))
+
+
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    """The template with `{name}` replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(x) if i % 2 == 0 else values[x] for i, x in enumerate(parts)])
+
+
+def glossary_prompts(passages: DataFrame, n: int = 10) -> DataFrame:
+    """`key, prompt` for a glossary entry of each term, from its first `n` passages (`term, position, title, author, excerpt`); the key is `glossary-` and the term. Answers that hold no JSON object stand as the definition."""
+    return _quoted(passages, "term", n).select(F.concat(F.lit("glossary-"), "term").alias("key"), _filled(GLOSSARY_ENTRY, {"term": F.col("term"), "context": F.col("context")}).alias("prompt"))
+
+
+def framework_prompts(passages: DataFrame, n: int = 10) -> DataFrame:
+    """`key, prompt` for a summary of each framework, from its first `n` passages (`framework, position, title, author, excerpt`) and the titles of all its books, by title; the key is `framework-` and the framework."""
+    titles = passages.groupBy("framework").agg(F.array_join(F.sort_array(F.collect_set("title")), ", ").alias("books"))
+    filled = _filled(FRAMEWORK_SUMMARY, {"framework": F.col("framework"), "context": F.col("context"), "books": F.col("books")})
+    return _quoted(passages, "framework", n).join(titles, "framework").select(F.concat(F.lit("framework-"), "framework").alias("key"), filled.alias("prompt"))
+
+
 def unanswered(prompts: DataFrame, cache: DataFrame, schema: str, array: bool = True) -> DataFrame:
     """`key, prompt` rows whose key has no cached answer that parses."""
     good = cache.where(json_part(F.col("value"), schema, array).isNotNull()).select("key")

@@ -317,7 +317,18 @@ def node_opacity(spark, root):
     return graph.opacity(graph.nodes(*_citations(spark, root)), members, "book", "Saltry Academic").select("id", F.col("circle").cast("decimal(3,2)").alias("circle"), F.col("text_opacity").cast("decimal(3,2)").alias("text_opacity"))
 
 
-@query()
+def _slug_sql(x: str) -> str:
+    spaces = _SPACE[1:-1]
+    kept = rf"[^\p{{L}}\p{{M}}\p{{N}}_{spaces}-]"
+    bare = rf"regexp_replace(regexp_replace(lower({x}), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{kept}', '', 'g')"
+    return rf"left(trim(regexp_replace(regexp_replace({bare}, '[{spaces}_]+', '-', 'g'), '-+', '-', 'g'), '-'), 80)"
+
+
+@query(rf"""
+    WITH b AS (SELECT id, {_slug_sql("title")} AS slug, {_slug_sql("coalesce(title, 'unknown')")} AS long, author[1] AS first, {_slug_sql(rf"regexp_extract(author[1], '[^\s]*$')")} AS last, len(author) AS n FROM {_BOOKS}),
+    w AS (SELECT *, CASE WHEN length(long) > 40 THEN rtrim(left(long, 40), '-') ELSE long END AS what, CASE WHEN n > 0 THEN CASE WHEN first = '' THEN 'unknown' ELSE last END ELSE '' END AS who FROM b)
+    SELECT id, slug, CASE WHEN coalesce(who, '') <> '' THEN who || '-' || what ELSE what END AS made_id FROM w
+""")
 def book_ids(spark, root):
     return tables.catalogue(spark, root).select("id", text.slug(F.col("title")).alias("slug"), metadata.book_id(F.col("author"), F.col("title")).alias("made_id"))
 
@@ -345,7 +356,7 @@ def html_text(spark, root):
 @query(rf"""
     WITH l AS (SELECT page_id, regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS t FROM (SELECT page_id, unnest(string_split(text, chr(10))) AS x FROM {_PAGES}))
     SELECT page_id, count(*) AS n FROM (SELECT *, len(string_split_regex(t, '{_SPACE}+')) AS w FROM l) WHERE t <> '' AND length(t) <= 100 AND NOT regexp_matches(t, '[.,;]$') AND w <= 12 AND (
-      (regexp_matches(t, '^\d+{_SPACE}+[A-Z]') AND length(t) < 80) OR (regexp_matches(t, '(?i)^({"|".join(text.HEADING_WORDS)}|Table of Contents)\b') AND w <= 8)
+      (regexp_matches(t, '^\d+{_SPACE}+[A-Z]') AND length(t) < 80) OR (regexp_matches(t, '(?i)^({text.HEADING_WORDS})\b') AND w <= 8)
       OR (t = upper(t) AND regexp_matches(t, '[A-Z]') AND length(t) > 2 AND length(t) < 60 AND w <= 6)) GROUP BY page_id
 """.replace(r"^\d+" + _SPACE, r"^\d+\s"))
 def headings(spark, root):
@@ -359,7 +370,10 @@ def footnotes(spark, root):
     return tables.read(spark, root, "documents").select("doc_id", F.size(lines).alias("n")).where("n > 0")
 
 
-@query()
+@query(rf"""
+    WITH l AS (SELECT page_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> '') AS ls FROM {_PAGES})
+    SELECT page_id, coalesce(len(ls) < 3 OR len(list_filter(ls, lambda x: length(x) < 5 OR regexp_matches(x, '(?i){"|".join(text.FRONT_MATTER)}'))) / len(ls) > 0.5, true) AS front FROM l
+""")
 def front_matter(spark, root):
     return tables.pages(spark, root).select("page_id", text.is_front_matter(F.col("text")).alias("front")).dropDuplicates(["page_id"])
 

@@ -156,11 +156,14 @@ def sections(extracted: DataFrame, least: int = 50) -> DataFrame:
 
 
 def contents(extracted: DataFrame, sections_: DataFrame) -> DataFrame:
-    """`file, ord, title, section, level`: contents entries with the first kept section of the same base name, or null."""
-    base = lambda c: F.regexp_extract(F.regexp_replace(c, "#.*$", ""), r"[^/]*$", 0)
-    first = sections_.groupBy("file", base(F.col("part")).alias("base")).agg(F.min("locator").alias("section"))
-    entries = extracted.where("kind = 'toc'").select("file", "ord", "title", "level", base(F.col("part")).alias("base"))
-    return entries.join(first, ["file", "base"], "left").select("file", "ord", "title", "section", "level")
+    """`file, ord, title, section, level`: contents entries with their section, or null: the first kept one, by locator, whose part is the entry's target without its fragment, or ends in it, or has its base name."""
+    target = F.regexp_replace(F.col("part"), "#.*$", "")
+    base = lambda c: F.regexp_extract(c, r"[^/]*$", 0)
+    entries = extracted.where("kind = 'toc'").select("file", "ord", "title", "level", target.alias("target"), base(target).alias("base"))
+    parts = sections_.select("file", F.col("part"), base(F.col("part")).alias("base"), "locator")
+    # Each of the tests implies an equal base name, so the join is on it and the first by locator is what the tests in turn would find.
+    found = entries.where("base <> ''").join(parts, ["file", "base"]).groupBy("file", "ord").agg(F.min("locator").alias("section"))
+    return entries.join(found, ["file", "ord"], "left").select("file", "ord", "title", "section", "level")
 
 
 def errors(extracted: DataFrame) -> DataFrame:

@@ -205,3 +205,23 @@ def test_empty_tables(spark, library):
     assert search.search(books, pages, "x").count() == 0 and search.in_book(pages, "x").count() == 0
     assert definitions.flag(pages, ["text"]).count() == 0 and catalogue.statistics(pages).count() == 0
     assert paragraphs.paragraphs(pages).count() == 0 and prompts.book_sample(pages).count() == 0
+
+
+def test_glossary_and_framework_prompts(spark):
+    from lectern.operators import prompts
+
+    rows = [("trace", i, f"T{i}", "A. Author", f"excerpt {i}") for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "term string, position int, title string, author string, excerpt string")
+    one = prompts.glossary_prompts(df).collect()
+    assert [r.key for r in one] == ["glossary-trace"] and 'From "T10" by A. Author: "excerpt 10"' in one[0].prompt and "excerpt 11" not in one[0].prompt
+    two = prompts.framework_prompts(df.withColumnRenamed("term", "framework")).collect()
+    assert two[0].key == "framework-trace" and "T1, T10, T11" in two[0].prompt and two[0].prompt.index("excerpt 1") < two[0].prompt.index("excerpt 2")
+    assert prompts.glossary_prompts(df.limit(0)).count() == 0
+
+
+def test_contents_take_the_first_section_of_the_name(spark):
+    from lectern.sources import containers
+
+    extracted = spark.createDataFrame([("f", "toc", 0, "b/ch1.xhtml#x", "One", 0), ("f", "toc", 1, "none.xhtml", "Two", 0), ("f", "toc", 2, "ch2.xhtml", "Three", 1)], "file string, kind string, ord int, part string, title string, level int")
+    sections = spark.createDataFrame([("f", 1, "a/ch1.xhtml"), ("f", 2, "b/ch1.xhtml"), ("f", 3, "OEBPS/ch2.xhtml")], "file string, locator int, part string")
+    assert [(r.ord, r.section) for r in containers.contents(extracted, sections).orderBy("ord").collect()] == [(0, 1), (1, None), (2, 3)]

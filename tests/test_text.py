@@ -109,3 +109,11 @@ def test_every_template(i, hit):
     hit = hit.replace("“x”", '"text"')
     m = definitions.patterns("text")[i].search(f"so {hit} and")
     assert m and m.start() == 3
+
+
+def test_all_references_are_resolved(column):
+    import html
+
+    values = ["caf&eacute;", "&#8217;&#x2019;&#X41;", "a &amp;lt; b", "&copy 2020 &copycat;", "AT&T & co &", "&#128; &#150;", "&#0; &#xD800;", "&NotEqualTilde;&nbsp;x", "&unknown; &;", "plain", "&notit; &amp", "100% &mdash;"]
+    assert column(text.unescape, values) == [html.unescape(v) for v in values]
+    assert column(text.html_to_text, ["<p title='a > b' data-x=\"</p>\">one &eacute;</p><br/>two &lt;p&gt;", None]) == ["one \u00e9\ntwo <p>", None]

@@ -225,3 +225,17 @@ def test_contents_take_the_first_section_of_the_name(spark):
     extracted = spark.createDataFrame([("f", "toc", 0, "b/ch1.xhtml#x", "One", 0), ("f", "toc", 1, "none.xhtml", "Two", 0), ("f", "toc", 2, "ch2.xhtml", "Three", 1)], "file string, kind string, ord int, part string, title string, level int")
     sections = spark.createDataFrame([("f", 1, "a/ch1.xhtml"), ("f", 2, "b/ch1.xhtml"), ("f", 3, "OEBPS/ch2.xhtml")], "file string, locator int, part string")
     assert [(r.ord, r.section) for r in containers.contents(extracted, sections).orderBy("ord").collect()] == [(0, 1), (1, None), (2, 3)]
+
+
+def test_promising_templates_lose_no_match():
+    import random
+
+    from lectern.operators import definitions as d
+
+    terms = ("text", "textile", "trace", "ai", "artificial intelligence", "margin")
+    bits = ["Text", "textile", "TRACE", "ai", "Artificial Intelligence", "margin", "is", "are", "defined", "the", "term", "of", "by", "I mean", "here", "in this", "means", "refers  to", "as", "a", "concept", "what", "do we mean by", "understanding", ",", ".", "\n", "'", "isn't"]
+    rng = random.Random(8)
+    for _ in range(400):
+        text = " ".join(rng.choice(bits) for _ in range(25))
+        full = [(t, i, m.span()) for t in terms if t in text.lower() for i, p in enumerate(d.patterns(t)) for m in p.finditer(text)]
+        assert [(t, i, m.span()) for t, i in d._promising(text.lower(), terms) for m in d.patterns(t)[i].finditer(text)] == full

@@ -368,6 +368,47 @@ def test_candidates_are_complete():
                     assert bad in words or true in [w for _, w in lexicon.candidates(bad, 1)], (bad, true)
 
 
+def distance(a, b):
+    """Edits between two words: left out, added, changed, swapped neighbours."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_retrieval_by_any_edits_is_complete():
+    rng = random.Random(7)
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randrange(3, 11))): 9 for _ in range(300)}
+    lexicon = scans.Lexicon(words)
+    for _ in range(60):
+        word = list(rng.choice(sorted(words)))
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.randrange(len(word))
+            kind = rng.randrange(4)
+            if kind == 0 and len(word) > 3:
+                del word[at]
+            elif kind == 1:
+                word.insert(at, rng.choice("abcde"))
+            elif kind == 2:
+                word[at] = rng.choice("abcde")
+            elif at + 1 < len(word):
+                word[at], word[at + 1] = word[at + 1], word[at]
+        for bound in (1, 2):
+            got = lexicon.within("".join(word), bound)
+            expected = {w: e for w in words if (e := distance("".join(word), w)) <= bound}
+            assert set(expected) == set(got), ("".join(word), bound)
+            assert all(got[w] >= e for w, e in expected.items())
+
+
+def test_other_edits_are_repaired_beside_scanning():
+    r = scans.Repairer({"memory": 90000, "reading": 90000, "archive": 90000, "the": 10**6, "of": 10**6})
+    assert r.marks("nemory memry memoryy raeding") == ""
+    assert r.repair("the arcbive of nemory, memry, memoryy and raeding") == "the archive of memory, memory, memory and reading"
+
+
 def test_rare_words_are_in_the_vocabulary(spark):
     df = texts(spark, ["the " * 6000] * 100 + ["an intermethod of the", "intermethod", "once"])
     words = scans.vocabulary(df)

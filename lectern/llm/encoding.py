@@ -13,6 +13,7 @@ documents, counted over all of them by language.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -36,8 +37,12 @@ UTF8_COST, SWAP_COST = 2, 1
 DICTIONARY_WORDS = 3000
 
 _OPEN, _CLOSE = "“‘«„(\"'—–¿¡", "”’»“‘,.;:!?)\"'…—–"
-#: What UTF-8 sequences may decode to: letters and signs of the languages at hand, other alphabets, typographic signs, forms of width.
-_PLAUSIBLE = re.compile("[\x80-\x9f -ÿŒœŠšŽžŸ̀-ͯͰ-ӿ -⁯€™…　ﬀ-ﬆ️﻿＀-～]+")
+#: What UTF-8 sequences may decode to: letters and signs that two characters may stand for by chance only seldom, two letters of other alphabets, and whatever takes three bytes or more.
+_PLAUSIBLE = re.compile("(?:[\x80-\x9f -ÿŒœŠšŽžŸ̀-ͯͰ-ӿ -⁯€™…　ﬀ-ﬆ️﻿＀-～]|[\u0590-\u07ff]{2,}|[\u0900-\u1fff\u2c00-\ud7ff\uf900-\uffef\U0001d400-\U0003ffff])+")
+
+
+def _assigned(text: str) -> bool:
+    return all(unicodedata.category(c) != "Cn" for c in text)
 
 
 _CONTROL = re.compile("[\x80-\x9f]")
@@ -81,7 +86,7 @@ def undo_utf8(word: str, codec: str) -> str:
             good = bytes(codes[c] for c in m[0]).decode()
         except UnicodeDecodeError:
             return m[0]
-        return good if _PLAUSIBLE.fullmatch(good) else m[0]
+        return good if _PLAUSIBLE.fullmatch(good) and _assigned(good) else m[0]
 
     return _sequences(codec).sub(read, word)
 
@@ -97,12 +102,14 @@ def undo_swap(word: str, read_in: str, written_in: str) -> str:
 
 
 def suspicion() -> str:
-    """A pattern (Java's and Python's) that every text matches in which a chain can be undone at a gain."""
+    """A pattern (Java's and Python's) of the signs of a wrong decoding: characters that the languages at hand hardly use, lead and tail of UTF-8 sequences side by side, capitals and lone letters where none belong."""
     pairs = []
     for codec in MISREAD_UTF8:
         of = _table(codec)[1]
         leads = [of[b - 0x80] for b in (*range(0xC2, 0xC6), *range(0xCC, 0xD2), 0xE2, 0xE3, 0xEF)]
         pairs.append(_class(leads) + _class(of[:0x40]))
+        pairs.append(f"{_class(of[0x56:0x60])}{_class(of[:0x40])}{_class(of[0x56:0x60])}{_class(of[:0x40])}")
+        pairs.append(f"{_class(of[0x60:0x75])}{_class(of[:0x40])}{{2}}")
     letters = "".join(ALPHABETS.values())
     upper = "".join(c for c in letters.upper() if ord(c) > 127) + "ÒÌÞÅÈÙÛ"
     usual = letters + letters.upper() + "“”‘’„‚«»‹›—–…¿¡·•°§ ­·¬ -‏ -  -⁤　̀-ͯͰ-ӿﬀ-ﬆ﻿＀-～"
@@ -132,7 +139,7 @@ def dictionary_words(documents: DataFrame, per_language: int = DICTIONARY_WORDS)
     for lang in ALPHABETS:
         good = F.when(F.col("lang") == lang, F.col("word").rlike(well_formed(lang))).otherwise(good)
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    return counts.where(F.length("word") <= 40).where(good).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language).drop("r")
+    return counts.where(good).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language).drop("r")
 
 
 def dictionaries(documents: DataFrame, per_language: int = DICTIONARY_WORDS) -> dict[str, list[str]]:
@@ -196,7 +203,7 @@ class Mender:
         if text is None or text.isascii() or not self.suspicious(text):
             return False, text, ""
         undone, out = [], text
-        while len(undone) < 4:
+        while True:  # every round shortens the description
             words = list(dict.fromkeys(w for w in re.split(r"[ \t\n\r]+", out) if not w.isascii()))
             best = None
             for cost, chain, new in self._candidates(words):
@@ -248,7 +255,7 @@ def mend(texts: DataFrame, words: dict[str, list[str]]) -> DataFrame:
 
 
 def suspect(text: Column) -> Column:
-    """Whether a text can be damaged at all; a cheap test that never fails a damaged one."""
+    """Whether a text may be damaged: a cheap test for the signs that undoing a chain takes away."""
     return (F.octet_length(text) != F.length(text)) & text.rlike(suspicion())
 
 

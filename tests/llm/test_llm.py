@@ -69,6 +69,17 @@ def test_mend_settles_repeats_and_nulls(spark, dictionary_docs):
     assert encoding.find(df.limit(0), dictionary_docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("good", ["Well done 😀 and 🎉!", "שלום עולם", "日本語の本", "हिन्दी की किताब"])
+def test_other_scripts_are_restored(mender, good):
+    bad = misread(good.encode(), "cp1252")
+    assert mender.mend(bad)[:2] == (True, good) and mender.mend(good)[0] is False
+
+
+def test_many_chains_in_one_text(mender):
+    parts = [misread("café façade".encode(), c) for c in ("cp1252", "cp437", "cp850", "mac_roman", "cp1250")]
+    assert mender.mend(" and ".join(parts))[1] == " and ".join(["café façade"] * 5)
+
+
 # ---- 2
 
 
@@ -117,6 +128,15 @@ def test_lookalikes(spark, dictionary_docs):
     assert sorted(map(str, twice.collect())) == sorted(map(str, again.collect()))
 
 
+def test_frequency_chooses_the_representative():
+    plain, wide, split = "a", "ａ", "e\u0301"
+    usual = lookalikes.rewriting({plain: 90, wide: 3, "é": 8, split: 1, "а": 5, "𝐚": 1})
+    assert usual == ({wide: plain, split: "é", "𝐚": plain}, {"а": plain})
+    turned = lookalikes.rewriting({plain: 3, wide: 90, "é": 1, split: 8, "а": 5, "𝐚": 1})
+    assert turned == ({plain: wide, "é": split, "𝐚": wide}, {"а": wide})
+    assert lookalikes.Rewriter(*turned).rewrite("a café") == "ａ cａfe\u0301" and lookalikes.Rewriter(*usual).rewrite("ａ cafe\u0301 𝐚") == "a café a"
+
+
 def test_classes_are_transitive():
     c = lookalikes.Classes()
     for a, b in ("ab", "cd", "bc"):

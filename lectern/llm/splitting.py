@@ -158,10 +158,10 @@ def book_pieces(books: DataFrame, pages: DataFrame, limit: int = 25000) -> DataF
 
 
 def oversized(documents: DataFrame, pages: DataFrame, books: DataFrame, text_limit: int = 4000, book_limit: int = 25000, overlap: int = 200) -> DataFrame:
-    """`rec, rec_key` of what takes more than one piece, once each."""
+    """`rec, rec_key` of what is cut, once each: texts of more than one piece, and books beyond the limit, of which a single page may be a piece by itself."""
     texts = documents.select(F.lit("documents").alias("rec"), F.col("doc_id").cast("string").alias("rec_key"), "text").unionByName(
         pages.select(F.lit("pages").alias("rec"), F.col("page_id").cast("string").alias("rec_key"), "text")
     )
     cut_texts = text_pieces(texts, text_limit, overlap).where("piece = 1").select("rec", "rec_key")
-    cut_books = large_books(books, page_sizes(pages), book_limit).where("least_pieces > 1").select(F.lit("books").alias("rec"), F.col("book_id").alias("rec_key"))
+    cut_books = book_pieces(books, pages, book_limit).where("piece = 0").select(F.lit("books").alias("rec"), F.col("book_id").alias("rec_key"))
     return cut_texts.unionByName(cut_books)

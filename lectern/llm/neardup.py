@@ -53,8 +53,10 @@ log = logging.getLogger(__name__)
 RUN_BUCKETS, KEY_BUCKETS, WHAT_BUCKETS = 1 << 20, 1 << 22, 1 << 22
 #: Numbers of a table in one row of its partial sums.
 SLICE = 1 << 15
-#: One in so many partitions (by anchor) is counted to estimate candidates.
-SAMPLE = 8
+#: Classes from this one on hold few runs that very many records have: a sample of partitions misses those that decide.
+OFTEN = 4
+#: To estimate candidates, one in so many partitions (by anchor) of rarer classes is counted in all records, and all partitions of the classes from `OFTEN` on in one of so many records.
+SAMPLE, SOME = 8, 16
 #: Bits of a partition at most of which subsets of 1, 2 and 3 are named (a thousand subsets or so); a record with a larger one is matched by single bits.
 LARGEST = np.array([1 << 62, 1 << 62, 45, 19])
 #: Sets of more bits have no sketch: one of 128 places could tell no two of them apart.
@@ -65,8 +67,8 @@ SLACK = 1.3
 POSTING_COST = 20
 #: Classes of partitions: the frequency of their bits by powers of `BASE`.
 BASE, CLASSES = 4, 20
-#: Postings of a bucket, and pairs looked at at once.
-POSTINGS, PAIRS = 1 << 19, 1 << 18
+#: Postings of a bucket, pairs looked at at once, and pairs met (of which most do not get that far) for a bucket of pairs.
+POSTINGS, PAIRS, MET = 1 << 19, 1 << 18, 1 << 24
 #: A subset that so many sets name is split into groups; so many such subsets at most.
 HOT, HEAVIEST = 1 << 13, 1 << 16
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -318,12 +320,13 @@ def _has(map_: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Plan:
-    """The allocation: class of each bucket of runs, subset size and rank of each class, and the subsets to be named in all."""
+    """The allocation: class of each bucket of runs, subset size and rank of each class; at most so many subsets are named in all, and about so many pairs meet."""
 
     level: np.ndarray
     mode: np.ndarray
     rank: np.ndarray
     postings: int
+    pairs: float = 0.0
 
     def single(self) -> Plan:
         """The same with single bits throughout, from rare to frequent."""
@@ -336,7 +339,8 @@ def plan(found: DataFrame) -> Plan:
     The cost of naming subsets of s bits of a class of partitions is the pairs of
     records that would meet, and `POSTING_COST` for every subset named. Pairs on
     single bits come from the table of runs, those on larger subsets from the
-    subsets of sampled partitions in all records.
+    subsets of sampled partitions in all records, or of all partitions in sampled
+    records where few partitions make most of the pairs.
     """
     level = np.minimum(np.log2(np.maximum(runs := table(found), 1)) / np.log2(BASE), CLASSES - 1).astype(np.uint8)
 
@@ -345,7 +349,7 @@ def plan(found: DataFrame) -> Plan:
         rows = lambda kind, s, what, n, m: pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(s, pa.int32()), pa.array(what, pa.int64()), pa.array(n, pa.float64()), pa.array(m, pa.float64())], names=["kind", "s", "what", "n", "m"])
         for key, unpacked in _batches(batches):
             owner, run, anchor, starts, sizes, kind = partitions(*unpacked, level)
-            sampled = (_mix(anchor[starts]) & np.uint64(SAMPLE - 1)) == 0
+            sampled = np.where(kind < OFTEN, (_mix(anchor[starts]) & np.uint64(SAMPLE - 1)) == 0, ((key & (SOME - 1)) == 0)[owner[starts]])
             needed += int(_needed(np.bincount(owner, minlength=len(key))).sum())
             k = sizes.astype(np.float64)
             for s, many in ((1, k), (2, k * (k - 1) / 2), (3, k * (k - 1) * (k - 2) / 6)):
@@ -364,7 +368,7 @@ def plan(found: DataFrame) -> Plan:
         if r.kind < 0:
             needed = r.units
         else:
-            units[r.kind, r.s], postings_[r.kind, r.s], pairs[r.kind, r.s] = r.units or 0, r.postings or 0, SAMPLE * (r.pairs or 0)
+            units[r.kind, r.s], postings_[r.kind, r.s], pairs[r.kind, r.s] = r.units or 0, r.postings or 0, (SAMPLE if r.kind < OFTEN else SOME**2) * (r.pairs or 0)
     often = runs.astype(np.float64)
     pairs[:, 1] = np.bincount(level, weights=often * (often - 1) / 2, minlength=CLASSES)
     cost = pairs + POSTING_COST * postings_
@@ -372,7 +376,8 @@ def plan(found: DataFrame) -> Plan:
     own = np.arange(CLASSES)
     price = np.where(mode > 0, cost[own, mode] / np.maximum(units[own, mode], 1), np.inf)
     log.info("near-duplicates: %d units needed; subset sizes by class of frequency (powers of %d): %s", needed, BASE, {int(c): int(mode[c]) for c in own if units[c, 1]})
-    return Plan(level, mode, np.argsort(np.argsort(price, kind="stable"), kind="stable"), int(needed))
+    used = mode > 0
+    return Plan(level, mode, np.argsort(np.argsort(price, kind="stable"), kind="stable"), int(postings_[own, mode][used].sum()), float(pairs[own, mode][used].sum()))
 
 
 def named(batches: Iterator[pa.RecordBatch], plan_: Plan, part: str = "all", among: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
@@ -524,7 +529,14 @@ def _counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return a[starts], b[starts], np.add.reduceat(c, starts), s[starts]
 
 
-def candidates(packed: DataFrame, buckets: int, tagged: bool = False) -> DataFrame:
+def spread(plan_: Plan, hot: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """(buckets of postings, buckets of pairs) that keep to their size: the copies that heavy subsets need for their groups count as well."""
+    copies = int((HOT * hot[1] * (hot[1] - 1)).sum())
+    buckets = 1 + (plan_.postings + copies) // POSTINGS
+    return buckets, max(buckets, 1 + int(plan_.pairs / MET))
+
+
+def candidates(packed: DataFrame, buckets: int, tagged: bool = False, pair_buckets: int = 0) -> DataFrame:
     """`a, b` (keys of 40 bits, a < b) of the sets that may be similar.
 
     The larger must be within twice the smaller. Similar sets share at least a
@@ -533,8 +545,10 @@ def candidates(packed: DataFrame, buckets: int, tagged: bool = False) -> DataFra
     are counted on no others, and must reach that number (or that third, where it
     is less). A bucket is one partition of about `POSTINGS` postings whatever the
     input; it counts what its pairs share before they go, packed, to buckets of
-    pairs. `tagged`: at least one of the two is tagged.
+    pairs (`pair_buckets`, or as many). `tagged`: at least one of the two is tagged,
+    so a subset's tagged sets come first and only they look for others.
     """
+    pair_buckets = pair_buckets or buckets
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -546,7 +560,7 @@ def candidates(packed: DataFrame, buckets: int, tagged: bool = False) -> DataFra
             return
         what, key, n, reach, flags, s1, s2 = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.lexsort((key, flags, what))
+        order = np.lexsort((key, flags & np.uint64(3), (flags & np.uint64(4)) == 0, what))
         new = np.ones(len(what), bool)
         w, k, f = what[order], key[order], flags[order]
         new[1:] = (w[1:] != w[:-1]) | (k[1:] != k[:-1]) | (f[1:] != f[:-1])  # equal sets of several tasks
@@ -554,11 +568,13 @@ def candidates(packed: DataFrame, buckets: int, tagged: bool = False) -> DataFra
         what, key, n, reach, flags, s1, s2 = what[order], key[order], n[order].astype(np.int64), reach[order].astype(np.int64), flags[order].astype(np.uint8), s1[order], s2[order]
         del w, k, f, new, order
         later = np.searchsorted(what, what, "right") - np.arange(len(what)) - 1
+        if tagged:
+            later[(flags & 4) == 0] = 0
         upto = np.cumsum(later)
 
         def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             a, b, c, s = _counted(parts)
-            bucket = ((_mix(a * _M1 + b * _M2) >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)
+            bucket = ((_mix(a * _M1 + b * _M2) >> np.uint64(24)) * np.uint64(pair_buckets) >> np.uint64(40)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             return _packed(bucket[order], [(x[order], k) for x, k in zip((a, b, np.minimum(c, 65535), s), _PAIR, strict=True)])
 
@@ -572,8 +588,6 @@ def candidates(packed: DataFrame, buckets: int, tagged: bool = False) -> DataFra
             swap = n[left] > n[right]
             small, big = np.where(swap, right, left), np.where(swap, left, right)
             fit = (n[big] <= 2 * n[small]) & (key[small] != key[big]) & (((flags[small] & 3) == 0) | ((flags[small] & 3) != (flags[big] & 3)))
-            if tagged:
-                fit &= ((flags[small] | flags[big]) & 4) != 0
             small, big = small[fit], big[fit]
             p, q = n[small], n[big]
             shares = _surplus(p) + 1
@@ -606,7 +620,7 @@ def candidates(packed: DataFrame, buckets: int, tagged: bool = False) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(x[c >= s].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     met = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "bucket int, sketched boolean, packed binary")
-    return met.repartitionById(buckets, F.col("bucket")).mapInArrow(count, "a long, b long")
+    return met.repartitionById(pair_buckets, F.col("bucket")).mapInArrow(count, "a long, b long")
 
 
 def similar_sets(records: DataFrame, size: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -617,14 +631,16 @@ def similar_sets(records: DataFrame, size: int = 3) -> tuple[DataFrame, DataFram
     """
     found = sets(records, size)
     by = plan(found)
-    buckets = 1 + by.postings // POSTINGS
-    pairs = cut(candidates(postings(found, by, buckets, heavy(found, by)), buckets))
+    hot = heavy(found, by)
+    buckets, pair_buckets = spread(by, hot)
+    pairs = cut(candidates(postings(found, by, buckets, hot), buckets, pair_buckets=pair_buckets))
     whats = lambda batches: (pa.RecordBatch.from_arrays([pa.array(w.view(np.int64))], names=["what"]) for w, *_ in named(batches, by, "short"))
     wanting = bitmap(found.select("key", "bits").mapInArrow(whats, "what long"), WHAT_BUCKETS)
     if wanting.any():
         hot = heavy(found, by.single())
+        buckets, pair_buckets = spread(by, hot)
         both = postings(found, by, buckets, hot, "short", tag=True).unionByName(postings(found, by, buckets, hot, "rest", among=wanting))
-        pairs = cut(pairs.unionByName(candidates(both, buckets, tagged=True)).distinct())
+        pairs = cut(pairs.unionByName(candidates(both, buckets, tagged=True, pair_buckets=pair_buckets)).distinct())
     wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("k")), KEY_BUCKETS)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -222,6 +222,22 @@ def test_hot_subsets_are_split_without_loss(spark, monkeypatch):
     assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == brute(records)
 
 
+def test_pairs_on_frequent_subsets_are_foreseen(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    least = min(words, key=lambda w: int(neardup.word_codes([[w]])[0][0]))
+    rest = [w for w in words if w != least]
+    phrase = " ".join([*rest[:2], least, *rest[2:]])  # one partition of three runs, in every record
+    df = spark.createDataFrame([(str(i), [f"{phrase} {' '.join(f'u{i}x{j}' for j in range(6))}"]) for i in range(800)], "id string, texts array<string>")
+    seen = []
+    real = neardup.allocate
+    monkeypatch.setattr(neardup, "allocate", lambda units, cost, needed: seen.append(cost) or real(units, cost, needed))
+    plan = neardup.plan(neardup.sets(df, 3))
+    pairs = 3 * 800 * 799 / 2
+    assert pairs / 2 < seen[0][4, 2] - neardup.POSTING_COST * 3 * 800 < pairs * 2
+    assert plan.postings >= sum(len(w) for w, *_ in neardup.named(iter(neardup.sets(df, 3).select("key", "bits").toArrow().to_batches()), plan))
+    assert neardup.spread(plan, (np.zeros(2, np.uint64), np.array([1, 20]))) == (1 + (plan.postings + neardup.HOT * 380) // neardup.POSTINGS,) * 2
+
+
 def test_groups_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)]
     pairs = spark.createDataFrame(edges, "a long, b long")

@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.llm._util import cut
 
@@ -43,6 +42,8 @@ for _formal, _short in NICKNAMES.items():
 ABBREVIATIONS = {
     "&": "and", "+": "and", "f": "for", "inst": "institute", "univ": "university", "u": "university", "dept": "department", "dep": "department", "lab": "laboratory", "labs": "laboratory", "ctr": "centre", "center": "centre", "cent": "centre", "soc": "society", "assoc": "association", "assn": "association", "coll": "collective", "natl": "national", "intl": "international", "org": "organisation", "organization": "organisation", "fdn": "foundation",
 }
+#: Names of one n-gram that meet in one place, and that are multiplied at once.
+SPLIT, BLOCK = 4096, 512
 _ORGANISED = frozenset("institute university department laboratory centre society association collective school college academy museum library press foundation group council committee office organisation bureau guild union studio".split())
 _TITLES = frozenset("dr prof professor mr mrs ms miss sir dame rev phd md jr sr ed eds editor trans translator".split())
 _PARTICLES = frozenset("de van von der den del della di da dos du la le ter ten zu zur".split())
@@ -203,36 +204,106 @@ def cosine_pairs(names: DataFrame, threshold: float = 0.2, size: int = 3) -> Dat
     norm of the rest falls below the threshold, so two names that reach it meet
     on an n-gram that both hold in their first part. Frequent n-grams are joined
     only by names that have little else.
+
+    A name goes to each of its first n-grams with its whole vector, and the names
+    of one n-gram are multiplied there in blocks; a pair counts at the first
+    n-gram on which it meets. So what is written grows with the names and not
+    with the pairs that meet. An n-gram of more than `SPLIT` names is split into
+    groups, every two of which meet in a place of their own.
     """
-    v = vectors(names, size)
+    v, block = vectors(names, size), BLOCK
     total = names.count()
     df = v.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(float(total + 1)) / F.col("df"))
-    w = v.join(df, "gram").select("name", "gram", "df", (F.col("tf") * idf * idf).alias("w"))
-    by_name = Window.partitionBy("name")
-    rest = Window.partitionBy("name").orderBy(F.asc("df"), F.asc("gram")).rowsBetween(0, Window.unboundedFollowing)
-    unit = w.withColumn("w", F.col("w") / F.sqrt(F.greatest(F.sum(F.col("w") * F.col("w")).over(by_name), F.lit(1e-12))))
-    unit = cut(unit.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).select("name", F.xxhash64("gram").alias("gram"), "w", "rest"))
-    first = unit.where(F.col("rest") >= threshold).select("name", "gram")
-    met = first.select(F.col("name").alias("a"), "gram").join(first.select(F.col("name").alias("b"), "gram"), "gram").where("a < b").select("a", "b").distinct()
-    whole = unit.groupBy("name").agg(F.collect_list("gram").alias("grams"), F.collect_list("w").alias("ws"))
-    sides = [whole.select(F.col("name").alias(x), F.col("grams").alias(f"grams_{x}"), F.col("ws").alias(f"ws_{x}")) for x in "ab"]
+    w = v.join(df, "gram").select("name", F.struct("df", F.xxhash64("gram").alias("gram"), (F.col("tf") * idf * idf).alias("w")).alias("part"))
+    whole = w.groupBy("name").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    whole = cut(whole.select("name", F.col("parts.gram").alias("grams"), F.col("parts.w").alias("ws")))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
+                units, counts = [], []
+                for x in batch.column(2).to_pylist():
+                    unit = np.array(x) / max(np.sqrt(np.dot(x, x)), 1e-6)
+                    units.append(unit)
+                    counts.append(int((np.sqrt(np.cumsum((unit * unit)[::-1])[::-1]) >= threshold * (1 - 1e-9)).sum()))
+                row = pa.array(np.repeat(np.arange(len(batch)), counts))
+                places = np.concatenate([np.arange(n) for n in counts])
+                heads = np.repeat(batch.column(1).offsets.to_numpy()[:-1] - batch.column(1).offsets[0].as_py(), counts)
+                key = batch.column(1).flatten().take(pa.array(heads + places))
+                yield pa.RecordBatch.from_arrays([key, batch.column(0).take(row), pa.array(places, pa.int32()), batch.column(1).take(row), pa.array(units, pa.list_(pa.float64())).take(row)], names=["gram", "name", "place", "grams", "ws"])
+
+    posted = whole.mapInArrow(first, "gram long, name string, place int, grams array<long>, ws array<double>")
+    often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("gram", F.ceil(F.col("n") / SPLIT).alias("groups"))
+    own = F.when(F.col("groups").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("name"), F.col("groups"))).cast("int")
+    spread = posted.join(F.broadcast(often), "gram", "left").withColumn("own", own)
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("groups") - 1, F.lit(0)).cast("int"))))
+    spread = spread.select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "name", "place", "grams", "ws")
+    met = spread.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high", "right")
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def keyed(grams: pa.ListArray, weights: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            pair = np.repeat(np.arange(len(grams), dtype=np.uint64), np.diff(grams.offsets.to_numpy()))
-            key = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ (pair * np.uint64(0x9E3779B97F4A7C15))
-            return key, pair.astype(np.int64), weights.flatten().to_numpy(zero_copy_only=False)
-
+        def multiplied(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            heads, flat, weights = batch.column(6).offsets.to_numpy() - batch.column(6).offsets[0].as_py(), batch.column(6).flatten().to_numpy(), batch.column(7).flatten().to_numpy()
+            place = batch.column(5).to_numpy()
+            two, right = batch.column(1).to_numpy() != batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            left_rows, right_rows, cosines = [], [], []
+
+            def matrices(at: int, to: int, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                many = np.diff(heads[at : to + 1])
+                row = np.repeat(np.arange(to - at), many)
+                step = np.arange(len(row)) - np.repeat(heads[at:to] - heads[at], many)
+                where = np.searchsorted(columns, flat[heads[at] : heads[to]])
+                where[where == len(columns)] = 0
+                there = columns[where] == flat[heads[at] : heads[to]]
+                row, where, before = row[there], where[there], (step < np.repeat(place[at:to], many))[there]
+                unit, earlier = np.zeros((to - at, len(columns))), np.zeros((to - at, len(columns)), np.float32)
+                unit[row, where] = weights[heads[at] : heads[to]][there]
+                earlier[row[before], where[before]] = 1
+                return unit, earlier
+
+            for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+                if end - start < 2:
+                    continue
+                middle = start + int(np.searchsorted(right[start:end], True)) if two[start] else end
+                for a in range(start, middle, block):
+                    a_end = min(a + block, middle)
+                    for b in range(middle if two[start] else a, end, block):
+                        b_end = min(b + block, end)
+                        if a == b and a_end - a < 2:
+                            continue
+                        if a == b:
+                            columns, n = np.unique(flat[heads[a] : heads[a_end]], return_counts=True)
+                            ua, ea = ub, eb = matrices(a, a_end, columns[n > 1])
+                        else:
+                            columns = np.intersect1d(flat[heads[a] : heads[a_end]], flat[heads[b] : heads[b_end]])
+                            (ua, ea), (ub, eb) = matrices(a, a_end, columns), matrices(b, b_end, columns)
+                        cosine = ua @ ub.T
+                        fit = (cosine >= threshold) & (ea @ eb.T == 0)
+                        i, j = np.nonzero(np.triu(fit, 1) if a == b else fit)
+                        left_rows.append(a + i)
+                        right_rows.append(b + j)
+                        cosines.append(cosine[i, j])
+            if not left_rows:
+                return pa.RecordBatch.from_pydict({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
+            x, y = (batch.column(4).take(pa.array(np.concatenate(rows))).to_pylist() for rows in (left_rows, right_rows))
+            return pa.RecordBatch.from_arrays([pa.array(list(map(min, x, y)), pa.string()), pa.array(list(map(max, x, y)), pa.string()), pa.array(np.concatenate(cosines))], names=["a", "b", "cosine"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            (ka, pair, wa), (kb, _, wb) = keyed(batch.column(2), batch.column(3)), keyed(batch.column(4), batch.column(5))
-            _, i, j = np.intersect1d(ka, kb, return_indices=True)
-            cosines = np.bincount(pair[i], weights=wa[i] * wb[j], minlength=batch.num_rows)
-            keep = pa.array(cosines >= threshold)
-            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(cosines))], names=["a", "b", "cosine"])
-
-    both = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", "grams_a", "ws_a", "grams_b", "ws_b")
-    return both.mapInArrow(dot, "a string, b string, cosine double")
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0] if held else batch
+            held = []
+            if not len(whole):
+                continue
+            gram, low, high = (whole.column(i).to_numpy() for i in range(3))
+            starts = np.nonzero(np.append(True, (gram[1:] != gram[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))[0]
+            if len(starts) > 1:
+                yield multiplied(whole, starts[:-1], starts[1:])
+            held = [whole.slice(int(starts[-1]))]
+        if held:
+            yield multiplied(held[0], np.array([0]), np.array([len(held[0])]))
+
+    return met.mapInArrow(dot, "a string, b string, cosine double")
 
 
 def checked(pairs: DataFrame) -> DataFrame:

@@ -114,6 +114,19 @@ def test_cosine_join_equals_all_pairs(spark):
     assert expected <= set(got) <= {p for p, c in cosine.items() if c >= 0.3 - 1e-9}
 
 
+def test_frequent_ngrams_are_split_and_pairs_are_never_written(spark, monkeypatch):
+    rng = random.Random(2)
+    names_ = sorted({f"{rng.choice(['ann', 'bo', 'cyd', 'dora'])} {rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bcdfgklmnprst')}man" for _ in range(400)})
+    df = spark.createDataFrame([(x,) for x in names_], "name string")
+    whole = names.cosine_pairs(df, 0.2)
+    assert not [line for line in whole._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line or "Aggregate [a" in line]
+    pairs = sorted((r.a, r.b, round(r.cosine, 9)) for r in whole.collect())
+    monkeypatch.setattr(names, "SPLIT", 20)
+    monkeypatch.setattr(names, "BLOCK", 7)
+    assert sorted((r.a, r.b, round(r.cosine, 9)) for r in names.cosine_pairs(df, 0.2).collect()) == pairs
+    assert len(pairs) > 100 and len({p[:2] for p in pairs}) == len(pairs)
+
+
 # ---- 3
 
 

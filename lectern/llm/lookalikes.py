@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.encoding import Mender
@@ -190,13 +190,20 @@ def rewriter(texts: Iterator[DataFrame] | list[DataFrame]) -> tuple[dict[str, st
     return rewriting({r.part: r.n for r in inventory(whole).where(needed).collect()})
 
 
+def _may(always: dict[str, str]) -> Column:
+    """Whether rewriting may change `text`. Where all other members lie beyond ASCII, so does what changes."""
+    if any(x.isascii() for x in always):
+        return F.coalesce(F.col("text").rlike(trigger(always)), F.lit(False))
+    return F.coalesce((F.octet_length("text") != F.length("text")) & F.col("text").rlike(f"(?![\\x00-\\x7f])(?:{trigger(always)})"), F.lit(False))
+
+
 def find(texts: DataFrame, replacements: tuple[dict[str, str], dict[str, str]], words: dict[str, list[str]]) -> DataFrame:
-    """The rows of `rec, rec_key, text` that hold look-alikes, once per key, with `rewritten`.
+    """The rows of `rec, rec_key, text` that hold members of a class other than its representative, once per key, with `rewritten`.
 
-    Null and empty texts and texts that were wrongly decoded (problem 1, told by
-    its dictionaries `words`) are none. Only rows that match the trigger reach
-    Python. A mixed word whose foreign letter has no Latin shape is found and
-    keeps that letter.
+    These are the rows that rewriting changes, so the corpus decides which form
+    is the look-alike. Null and empty texts and texts that were wrongly decoded
+    (problem 1, told by its dictionaries `words`) are none. Only rows that match
+    the trigger of the replacements reach Python.
     """
     schema = "rec string, rec_key string, text string, rewritten string"
 
@@ -206,19 +213,18 @@ def find(texts: DataFrame, replacements: tuple[dict[str, str], dict[str, str]],
             rows = []
             for rec, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 new = writer.rewrite(text)
-                if writer.trigger(text) and not mender.mend(text)[0]:
+                if new != text and not mender.mend(text)[0]:
                     rows.append((rec, key, text, new))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["rec", "rec_key", "text", "rewritten"])
 
-    may = (F.octet_length("text") != F.length("text")) & F.col("text").rlike(TRIGGER)
-    return texts.select("rec", "rec_key", "text").where(may).mapInArrow(run, schema).dropDuplicates(["rec", "rec_key"])
+    return texts.select("rec", "rec_key", "text").where(_may(replacements[0])).mapInArrow(run, schema).dropDuplicates(["rec", "rec_key"])
 
 
 def rewrite(texts: DataFrame, replacements: tuple[dict[str, str], dict[str, str]]) -> DataFrame:
     """Every row of `rec, rec_key, text` once per key, its text in representatives; null texts stay null. Rows without look-alikes never leave the JVM for it."""
     once = texts.select("rec", "rec_key", "text")
-    may = F.coalesce(F.col("text").rlike(trigger(replacements[0]) if any(x.isascii() for x in replacements[0]) else f"(?![\\x00-\\x7f])(?:{trigger(replacements[0])})"), F.lit(False))
+    may = _may(replacements[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = Rewriter(*replacements)

@@ -150,6 +150,14 @@ def test_frequency_chooses_the_representative():
     assert lookalikes.Rewriter(*turned).rewrite("a café") == "ａ cａfe\u0301" and lookalikes.Rewriter(*usual).rewrite("ａ cafe\u0301 𝐚") == "a café a"
 
 
+def test_the_classes_decide_what_is_found(spark, dictionary_docs):
+    words = encoding.dictionaries(dictionary_docs)
+    found = lambda df: {int(r.rec_key) for r in lookalikes.find(df, lookalikes.rewriter([df]), words).collect()}
+    assert found(texts(spark, ["the c𝐚t", "the cat", "a μm of the cat", "ｔhe cat"] + ["the cat"] * 3)) == {0, 3}
+    assert found(texts(spark, ["ｔhe cat"] * 9 + ["hat", "he"])) == set(range(9))
+    assert found(texts(spark, ["ｔhe ca"] * 9 + ["hat", "he"])) == {9}  # the wide t is the usual one
+
+
 def test_classes_are_transitive():
     c = lookalikes.Classes()
     for a, b in ("ab", "cd", "bc"):

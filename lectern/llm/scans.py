@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 MISREADINGS = (
     ("c", "e"), ("f", "t"), ("0", "o"), ("1", "l"), ("5", "s"), ("8", "b"), ("cl", "d"), ("rn", "m"), ("ii", "u"), ("q", "g"), ("m", "in"), ("b", "h"), ("h", "li"), ("vv", "w"), ("1", "i"), ("0", "O"), ("I", "l"),
 )
-#: The vocabulary holds so many of the most frequent words: the broadcast is bounded.
-VOCABULARY_WORDS = 200_000
 #: A part of a word at a hyphen is a word of its own if it makes up this share of all words; the halves of broken words are rarer.
 PART_SHARE = 1 / 200_000
 #: Cost of an edit that is none of scanning's misreadings, which cost 1.
@@ -72,10 +70,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(texts: DataFrame, most: int = VOCABULARY_WORDS) -> dict[str, int]:
-    """The `most` most frequent words of two or more uses, with their counts."""
+def vocabulary(texts: DataFrame, most: int | None = None) -> dict[str, int]:
+    """All words of two or more uses with their counts, or the `most` most frequent of them.
+
+    All of them are sent to the driver and the workers, however rare: any may be what a misreading stands for.
+    """
     counts = word_counts(texts).where(F.col("n") >= 2)
-    return {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()}
+    if most is not None:
+        counts = counts.orderBy(F.desc("n"), "word").limit(most)
+    return {r.word: r.n for r in counts.collect()}
 
 
 class Lexicon:
@@ -83,8 +86,6 @@ class Lexicon:
 
     def __init__(self, words: dict[str, int]):
         self.words = words
-        #: Uses that a word outside the vocabulary may have.
-        self.outside = min(words.values()) if len(words) >= VOCABULARY_WORDS else 0
         self.most = max(words.values(), default=0)
         self.root, self.back = {}, {}
         for word in words:
@@ -179,7 +180,7 @@ class Lexicon:
             if len(self.seen) > 200_000:
                 self.seen.clear()
             bound, known = self._may(word), []
-            own = self.words.get(word, self.outside)
+            own = self.words.get(word, 0)
             if bound and own * RARER < self.most:
                 digits = any(map(str.isdigit, word))
                 if len(word) < 6 and not digits:
@@ -197,7 +198,7 @@ class Lexicon:
                 if len(self.seen_other) > 200_000:
                     self.seen_other.clear()
                 other = self.seen_other[word] = [(OTHER_EDIT * e, w) for w, e in self.within(word, 1 if len(word) < 9 else 2).items() if e]
-            own = max(1, self.words.get(word, self.outside))
+            own = max(1, self.words.get(word, 0))
             for cost, w in other:
                 if w not in best and self.words[w] > (RARER_THERE if w in there else RARER_OTHER) * own * (cost // OTHER_EDIT):
                     best[w] = cost

@@ -474,6 +474,15 @@ def test_rare_words_are_in_the_vocabulary(spark):
     assert r.marks("the intermeth0d") == "misread" and r.repair("the intermeth0d of the inter-\nmethod") == "the intermethod of the intermethod"
 
 
+def test_no_word_of_two_uses_is_cut(spark):
+    letters = "bcdfghklmnprstvw"
+    many = [f"z{a}{b}{c}{d}{e}a" for a in letters for b in letters for c in letters for d in letters for e in letters[:4]]
+    df = texts(spark, [" ".join(many[i : i + 2000]) for i in range(0, len(many), 2000)] * 3 + ["zzintermethod of zzintermethod"])
+    words = scans.vocabulary(df)
+    assert len(many) > 200_000 and len(words) == len(many) + 1 and words["zzintermethod"] == 2
+    assert scans.Repairer({"zzintermethod": words["zzintermethod"]}).marks("zzintermeth0d") == "misread"
+
+
 def test_word_counts(spark):
     df = texts(spark, ["A a, b.", None, "", "b’s (c) c"])
     assert {r.word: r.n for r in scans.word_counts(df).collect()} == {"a": 2, "b": 1, "b’s": 1, "c": 2}

@@ -67,17 +67,22 @@ SLACK = 1.3
 POSTING_COST = 20
 #: Classes of partitions: the frequency of their bits by powers of `BASE`.
 BASE, CLASSES = 4, 20
+#: Bytes of texts and of packed sets that are looked at together.
+CHARS, PACKED = 1 << 18, 1 << 20
 #: Postings of a bucket, pairs looked at at once, and pairs met (of which most do not get that far) for a bucket of pairs.
-POSTINGS, PAIRS, MET = 1 << 19, 1 << 18, 1 << 24
+POSTINGS, PAIRS, MET = 1 << 19, 1 << 16, 1 << 24
 #: A subset that so many sets name is split into groups; so many such subsets at most.
 HOT, HEAVIEST = 1 << 13, 1 << 16
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _M1
-    x = (x ^ (x >> np.uint64(29))) * _M2
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    x *= _M1
+    x ^= x >> np.uint64(29)
+    x *= _M2
+    x ^= x >> np.uint64(32)
+    return x
 
 
 @lru_cache(maxsize=1)
@@ -98,8 +103,8 @@ def word_codes(records: list[list[str | None] | None]) -> tuple[np.ndarray, np.n
     joined = "\n".join(texts).lower() + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     inside = _letters()[points]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
-    starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    edges = np.nonzero(np.diff(inside, prepend=False))[0]
+    starts, ends = edges[::2], edges[1::2]
     sizes = ends - starts
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -115,10 +120,10 @@ def word_codes(records: list[list[str | None] | None]) -> tuple[np.ndarray, np.n
 
 
 def bits(records: list[list[str | None] | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, bit, anchor) of the distinct runs of `size` words in one text, by record and bit.
+    """(record, bit, anchor) of the distinct runs of `size` words in one text, by record, anchor and bit.
 
     A bit is a hash of 36 bits of the run, the anchor one of 12 bits of its word
-    of the least hash.
+    of the least hash. At most 65,536 records at a time, so that a number holds all three.
     """
     codes, record, text = word_codes(records)
     n = len(codes) - size + 1
@@ -129,36 +134,39 @@ def bits(records: list[list[str | None] | None], size: int) -> tuple[np.ndarray,
     for i in range(size):
         run = _mix(run * _M3 + codes[here + i])
         anchor = np.minimum(anchor, codes[here + i])
-    both = (record[here].astype(np.uint64) << np.uint64(36)) | (run >> np.uint64(28))
-    both, first = np.unique(both, return_index=True)
-    return (both >> np.uint64(36)).astype(np.int64), both & np.uint64(2**36 - 1), anchor[first] & np.uint64(0xFFF)
+    all_ = np.sort((record[here].astype(np.uint64) << np.uint64(48)) | ((anchor & np.uint64(0xFFF)) << np.uint64(36)) | (run >> np.uint64(28)))
+    all_ = all_[np.append(True, all_[1:] != all_[:-1])[: len(all_)]]
+    return (all_ >> np.uint64(48)).astype(np.int64), all_ & np.uint64(2**36 - 1), (all_ >> np.uint64(36)) & np.uint64(0xFFF)
 
 
-def _pack(run: np.ndarray, anchor: np.ndarray) -> bytes:
-    """Six bytes a bit: the bit and its anchor."""
-    return ((run << np.uint64(12)) | anchor).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack(run: np.ndarray, anchor: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Sets of so many bits each, six bytes a bit: the bit and its anchor."""
+    data = np.ascontiguousarray(((run << np.uint64(12)) | anchor).view(np.uint8).reshape(-1, 8)[:, :6])
+    offsets = 6 * np.append(0, np.cumsum(sizes)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def _unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, bit, anchor) of packed sets."""
-    sizes = np.array([len(x) // 6 for x in packed], dtype=np.int64)
-    wide = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, 6)
+    packed = packed.cast(pa.large_binary())
+    offsets = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    wide = np.zeros((int(offsets[-1] - offsets[0]) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 6)
     both = wide.reshape(-1).view(np.uint64)
-    return np.repeat(np.arange(len(packed)), sizes), both >> np.uint64(12), both & np.uint64(0xFFF)
+    return np.repeat(np.arange(len(packed)), np.diff(offsets) // 6), both >> np.uint64(12), both & np.uint64(0xFFF)
 
 
 def partitions(owner: np.ndarray, run: np.ndarray, anchor: np.ndarray, level: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Bits sorted by (record, rank of class, anchor, bit), with starts, sizes and classes of the partitions.
 
     A partition holds the bits of one anchor and one class of frequency: both are
-    properties of the bit, so all records are divided alike. At most 4,096 records
-    at a time, so that all of the order fits one number.
+    properties of the bit, so all records are divided alike. The bits come by
+    record, anchor and bit, so only records and classes are left to sort by: two
+    bytes, if records are 3,276 at most, which are sorted without comparing.
     """
     kind = level[(run & np.uint64(RUN_BUCKETS - 1)).astype(np.int64)].astype(np.int64)
-    place = (rank[kind] if rank is not None else kind).astype(np.uint64)
-    at = owner.astype(np.uint64)
-    order = np.argsort((at << np.uint64(52)) | (place << np.uint64(46)) | (anchor << np.uint64(30)) | (run & np.uint64(2**30 - 1)), kind="stable")
+    place = owner * CLASSES + (rank[kind] if rank is not None else kind)
+    order = np.argsort(place.astype(np.uint16) if len(place) and owner[-1] < (1 << 16) // CLASSES else place, kind="stable")
     owner, run, anchor, kind = owner[order], run[order], anchor[order], kind[order]
     new = np.ones(len(run), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1]) | (kind[1:] != kind[:-1])
@@ -167,19 +175,32 @@ def partitions(owner: np.ndarray, run: np.ndarray, anchor: np.ndarray, level: np
     return owner, run, anchor, starts, sizes, kind[starts]
 
 
+def _single(run: np.ndarray) -> np.ndarray:
+    """The subsets of one bit."""
+    return _mix(run + _M3)
+
+
 def subsets(run: np.ndarray, starts: np.ndarray, sizes: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(partition, subset) of all subsets of s bits of each partition."""
     where, what = [], []
-    for k, t in sorted(set(zip(sizes.tolist(), s.tolist(), strict=True))):
-        if t < 1 or k < t:
+    for k, t in ((x >> 2, x & 3) for x in np.unique(np.where((s == 1) | (sizes < s), 0, sizes * 4 + s)).tolist()):
+        if not t:
             continue
         mine = np.nonzero((sizes == k) & (s == t))[0]
-        for picks in combinations(range(k), t):
-            h = np.full(len(mine), t, dtype=np.uint64)
-            for p in picks:
-                h = _mix(h * _M3 + run[starts[mine] + p])
-            where.append(mine)
+        picks = np.array(list(combinations(range(k), t)), dtype=np.int64)
+        step = max(1, (1 << 17) // len(picks))
+        for at in range(0, len(mine), step):
+            some = mine[at : at + step]
+            h = np.uint64(t)
+            for i in range(t):
+                h = _mix(h * _M3 + run[(starts[some][:, None] + picks[:, i]).reshape(-1)])
+            where.append(np.repeat(some, len(picks)))
             what.append(h)
+    mine = np.nonzero((s == 1) & (sizes > 0))[0]
+    if len(mine):
+        many = sizes[mine]
+        where.append(np.repeat(mine, many))
+        what.append(_single(run[np.arange(int(many.sum())) + np.repeat(starts[mine] - np.cumsum(many) + many, many)]))
     if not where:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(where), np.concatenate(what)
@@ -237,31 +258,36 @@ def sets(records: DataFrame, size: int) -> DataFrame:
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                batch = whole.slice(at, 2000)
+            for batch in _parts(whole, 1, CHARS):
                 owner, run, anchor = bits(batch.column(1).to_pylist(), size)
                 starts = np.nonzero(np.diff(owner, prepend=-1))[0]
-                ends = np.append(starts[1:], len(run))
                 mixed = _mix(run * _M2 + _M3)
                 key = _mix(np.add.reduceat(mixed, starts) ^ (np.add.reduceat(mixed * mixed, starts) * _M1)) if len(starts) else run
-                packed = [_pack(run[a:b], anchor[a:b]) for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[starts])), pa.array(key.view(np.int64)), pa.array(packed, pa.binary())], names=["id", "key", "bits"])
+                packed = _pack(run, anchor, np.diff(np.append(starts, len(run))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[starts])), pa.array(key.view(np.int64)), packed], names=["id", "key", "bits"])
 
     return cut(records.select("id", "texts").where("id IS NOT NULL").mapInArrow(run_, "id string, key long, bits binary"))
 
 
+def _parts(whole: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, of at most 2,000 rows and about `most` bytes of a column: their arrays stay in the processor's cache."""
+    step = max(50, min(2000, len(whole) * most // max(1, whole.column(column).nbytes)))
+    return (whole.slice(at, step) for at in range(0, len(whole), step))
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """(keys, unpacked sets) of `key, bits` in parts of bounded size; equal sets of a task mostly only once."""
     seen: set[int] = set()
     for whole in batches:
-        for at in range(0, len(whole), 2000):
-            batch = whole.slice(at, 2000)
-            key, packed = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        for batch in _parts(whole, 1, PACKED):
+            key, packed = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             if len(seen) > 1_000_000:
                 seen.clear()
             fresh = [i for i, k in enumerate(key.tolist()) if not (k in seen or seen.add(k))]
-            if fresh:
-                yield key[fresh], _unpack([packed[i] for i in fresh])
+            if len(fresh) == len(key):
+                yield key, _unpack(packed)
+            elif fresh:
+                yield key[fresh], _unpack(packed.take(pa.array(fresh)))
 
 
 def _gathered(parts: DataFrame, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type, numbers: int) -> np.ndarray:
@@ -291,9 +317,15 @@ def table(found: DataFrame) -> np.ndarray:
     """Frequency of runs by bucket, over all sets. Every task sends its sums in slices of fixed size; they add up to a table of fixed size."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = np.zeros(RUN_BUCKETS, np.uint32)
+        runs, held, many = np.zeros(RUN_BUCKETS, np.uint32), [], 0
         for _, (_, run, _) in _batches(batches):
-            runs += np.bincount((run & np.uint64(RUN_BUCKETS - 1)).astype(np.int64), minlength=RUN_BUCKETS).astype(np.uint32)
+            held.append((run & np.uint64(RUN_BUCKETS - 1)).astype(np.int32))
+            many += len(run)
+            if many > RUN_BUCKETS:
+                runs += np.bincount(np.concatenate(held), minlength=RUN_BUCKETS).astype(np.uint32)
+                held, many = [], 0
+        if many:
+            runs += np.bincount(np.concatenate(held), minlength=RUN_BUCKETS).astype(np.uint32)
         yield _slices(runs)
 
     add = lambda a, b: np.minimum(a.astype(np.uint64) + b, 2**32 - 1).astype(np.uint32)
@@ -357,8 +389,10 @@ def plan(found: DataFrame) -> Plan:
                 totals[1, :, s] += np.bincount(kind, weights=many, minlength=CLASSES)
                 if s > 1:
                     where, what = subsets(run, starts, sizes, np.where(sampled & (sizes <= LARGEST[s]), s, 0))
-                    what, first, n = np.unique(what, return_index=True, return_counts=True)
-                    yield rows(kind[where[first]], np.full(len(what), s), what.view(np.int64) | 1, n, np.zeros(len(what)))
+                    what = np.sort((what & ~np.uint64(63)) | (kind[where].astype(np.uint64) << np.uint64(1)) | np.uint64(1))  # the class in place of the lowest bits
+                    first = np.nonzero(np.append(True, what[1:] != what[:-1])[: len(what)])[0]
+                    what, n = what[first], np.diff(np.append(first, len(what)))
+                    yield rows((what >> np.uint64(1)) & np.uint64(31), np.full(len(what), s), what.view(np.int64), n, np.zeros(len(what)))
         yield rows(np.repeat(np.arange(CLASSES), 3), np.tile([1, 2, 3], CLASSES), np.zeros(3 * CLASSES, np.int64), totals[0, :, 1:].reshape(-1), totals[1, :, 1:].reshape(-1))
         yield rows(np.array([-1]), np.array([0]), np.zeros(1, np.int64), np.array([float(needed)]), np.zeros(1))
 
@@ -392,27 +426,28 @@ def named(batches: Iterator[pa.RecordBatch], plan_: Plan, part: str = "all", amo
     single bits; "rest", the first again, by single bits as far as the map `among`
     has them.
     """
-    by = plan_ if part == "all" else plan_.single()
     for key, (owner, run, anchor) in _batches(batches):
-        many = len(key)
-        count = np.bincount(owner, minlength=many)
-        _, mine, _, sizes, s, units, _ = _placed(owner, run, anchor, plan_)
-        short = np.bincount(mine, weights=units, minlength=many) < _needed(count)
-        short[mine[(s > 0) & (sizes > LARGEST[s])]] = True
-        keep = (short if part == "short" else ~short)[owner]
-        if not keep.any():
+        if among is not None:  # only sets of which the map has a bit
+            some = np.bincount(owner, weights=_has(among, _single(run)), minlength=len(key)) > 0
+            keep = some[owner]
+            key, owner, run, anchor = key[some], (np.cumsum(some) - 1)[owner[keep]], run[keep], anchor[keep]
+        if not len(key):
             continue
-        heads = np.cumsum(count) - count
-        mixed = _mix(run * _M2 + _M3)
-        place, half = np.uint64(1) << (mixed >> np.uint64(58)), (mixed >> np.uint64(57)) & np.uint64(1)
-        small = np.where(count <= SKETCHED, np.uint64(2**64 - 1), np.uint64(0))
-        s1, s2 = (np.bitwise_xor.reduceat(np.where(half == h, place, np.uint64(0)), heads) & small for h in (0, 1))
-        run, mine, starts, sizes, s, units, kind = _placed(owner[keep], run[keep], anchor[keep], by)
+        many, count = len(key), np.bincount(owner, minlength=len(key))
+        placed, out = _placed(owner, run, anchor, plan_), np.full(len(key), part == "short")
+        out ^= _short(placed, count)
+        if out.all():
+            continue
+        s1, s2 = _sketches(run, count)
+        if part != "all":
+            keep = ~out[owner]
+            placed = _placed(owner[keep], run[keep], anchor[keep], plan_.single())
+        run, mine, starts, sizes, s, units, kind = placed
         before = np.cumsum(units) - units
         first = np.searchsorted(mine, np.arange(many))
         reach = before - before[np.minimum(first, len(before) - 1)][mine]
         left = _needed(count)[mine] - reach
-        where, what = subsets(run, starts, np.minimum(sizes, np.maximum(left, 0) + s - 1), np.where(left > 0, s, 0))  # of the last partition only as many bits as give the units still needed
+        where, what = subsets(run, starts, np.minimum(sizes, np.maximum(left, 0) + s - 1), np.where((left > 0) & ~out[mine], s, 0))  # of the last partition only as many bits as give the units still needed
         if among is not None:
             some = _has(among, what)
             where, what = where[some], what[some]
@@ -421,6 +456,41 @@ def named(batches: Iterator[pa.RecordBatch], plan_: Plan, part: str = "all", amo
         yield what & np.uint64(2**40 - 1), key[of].view(np.uint64) >> np.uint64(24), count[of], reach[where], s1[of] & often, s2[of] & often
 
 
+def _short(placed: tuple[np.ndarray, ...], count: np.ndarray) -> np.ndarray:
+    """Whether sets of `count` bits, placed by a plan, can't reach their threshold by it or have a partition too large for its subsets."""
+    _, mine, _, sizes, s, units, _ = placed
+    short = np.bincount(mine, weights=units, minlength=len(count)) < _needed(count)
+    short[mine[(s > 0) & (sizes > LARGEST[s])]] = True
+    return short
+
+
+def lacking(found: DataFrame, plan_: Plan) -> DataFrame:
+    """`key, bits` of the sets that the plan falls short of. Checkpointed."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (owner, run, anchor) in _batches(batches):
+            count = np.bincount(owner, minlength=len(key))
+            short = _short(_placed(owner, run, anchor, plan_), count)
+            keep = short[owner]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[short]), _pack(run[keep], anchor[keep], count[short])], names=["key", "bits"])
+
+    return cut(found.select("key", "bits").mapInArrow(run_, "key long, bits binary"))
+
+
+def _sketches(run: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of sets of `count` bits, one after the other, in two halves; 0 for sets of more than `SKETCHED`."""
+    small = count <= SKETCHED
+    out = np.zeros((2, len(count)), np.uint64)
+    if small.any():
+        heads = np.cumsum(count[small]) - count[small]
+        mixed = _mix(run[np.repeat(small, count)] * _M2 + _M3)
+        place, half = np.uint64(1) << (mixed >> np.uint64(58)), (mixed >> np.uint64(57)) & np.uint64(1)
+        for h in (0, 1):
+            out[h, small] = np.bitwise_xor.reduceat(np.where(half == h, place, np.uint64(0)), heads)
+    return out[0], out[1]
+
+
 def _placed(owner: np.ndarray, run: np.ndarray, anchor: np.ndarray, plan_: Plan) -> tuple[np.ndarray, ...]:
     """(bits; record, start, size, size of subsets, units and class of each partition), in the plan's order."""
     owner, run, _, starts, sizes, kind = partitions(owner, run, anchor, plan_.level, plan_.rank)
@@ -472,19 +542,25 @@ def _packed(bucket: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> pa.Rec
     first = columns[0][0]
     steps = first - np.concatenate([np.zeros(1, first.dtype), first[:-1]])
     steps[starts] = first[starts]
-    planes = np.concatenate([x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :k] for x, k in [(steps, columns[0][1]), *columns[1:]]], axis=1)
-    packed = [np.ascontiguousarray(planes[a:b].T).tobytes() for a, b in zip(starts, ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), len(columns) == len(_POSTING + _SKETCH))), pa.array(packed, pa.binary())], names=["bucket", "sketched", "packed"])
+    planes, at = np.empty((sum(k for _, k in columns), len(bucket)), np.uint8), 0
+    for x, k in [(steps, columns[0][1]), *columns[1:]]:
+        planes[at : at + k] = x.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8)[:, :k].T
+        at += k
+    data, offsets = np.empty(planes.size, np.uint8), np.append(0, ends).astype(np.int64) * len(planes)
+    for a, b, c, d in zip(starts.tolist(), ends.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        data[c:d].reshape(len(planes), -1)[:] = planes[:, a:b]
+    packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), len(columns) == len(_POSTING + _SKETCH))), packed], names=["bucket", "sketched", "packed"])
 
 
-def _unpacked(packed: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
-    """The columns of one `packed`."""
-    p = np.frombuffer(packed, np.uint8).reshape(sum(widths), -1)
+def _unpacked(planes: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The numbers in planes of so many bytes each."""
     out, at = [], 0
     for k in widths:
-        out.append(sum((p[at + i].astype(np.uint64) << np.uint64(8 * i) for i in range(k)), np.zeros(p.shape[1], np.uint64)))
+        wide = np.zeros((planes.shape[1], 8), np.uint8)
+        wide[:, :k] = planes[at : at + k].T
+        out.append(wide.reshape(-1).view(np.uint64))
         at += k
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
     return out
 
 
@@ -499,7 +575,7 @@ def postings(found: DataFrame, plan_: Plan, buckets: int, hot: tuple[np.ndarray,
 
     def pack(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         what, key, n, reach, s1, s2, side = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(what, kind="stable")
+        order = np.argsort(what)
         for some in (order[(s1 | s2)[order] == 0], order[(s1 | s2)[order] != 0]):
             if not len(some):
                 continue
@@ -520,6 +596,28 @@ def postings(found: DataFrame, plan_: Plan, buckets: int, hot: tuple[np.ndarray,
     return found.select("key", "bits").mapInArrow(run_, "bucket int, sketched boolean, packed binary")
 
 
+def _within(what: np.ndarray, n: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """How many of the postings after each one are of the same subset and of sets that its own, as the smaller one, can be similar to.
+
+    The postings are sorted by subset and size of the set. The larger set is
+    within twice the smaller, and the more units the smaller one has before, the
+    less it may lack of the larger one, which bounds the larger one's size too.
+    """
+    most = 2 * n - 3 * np.maximum(reach - _surplus(n), 0)
+    group, wide = np.cumsum(np.append(0, what[1:] != what[:-1])), int(n.max()) + 1
+    upto = np.searchsorted(group * wide + n, group * wide + np.clip(most, 0, wide - 1), "right")
+    return np.maximum(upto - np.arange(len(what)) - 1, 0)
+
+
+def _several(what: np.ndarray) -> np.ndarray:
+    """Whether a number is there more than once."""
+    order = np.argsort(what)
+    same = what[order[1:]] == what[order[:-1]]
+    out = np.zeros(len(what), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
 def _counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """(a, b, count, shares) with the counts of equal pairs added up."""
     a, b, c, s = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -551,25 +649,33 @@ def candidates(packed: DataFrame, buckets: int, tagged: bool = False, pair_bucke
     pair_buckets = pair_buckets or buckets
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for sketched, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                columns = _unpacked(x, _POSTING + _SKETCH * sketched)
-                parts.append(columns if sketched else [*columns, *[np.zeros(len(columns[0]), np.uint64)] * 2])
+        parts = [(sketched, np.frombuffer(x, np.uint8).reshape(sum(_POSTING + _SKETCH * sketched), -1)) for batch in batches for sketched, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         if not parts:
             return
-        what, key, n, reach, flags, s1, s2 = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((key, flags & np.uint64(3), (flags & np.uint64(4)) == 0, what))
+        whats = [np.cumsum(_unpacked(x, _POSTING[:1])[0], dtype=np.uint64) for _, x in parts]
+        several, at, columns = _several(np.concatenate(whats)), 0, []
+        for i, (sketched, x) in enumerate(parts):
+            some = several[at : at + len(whats[i])]
+            at += len(some)
+            one = [whats[i][some], *_unpacked(x[_POSTING[0] :, some], _POSTING[1:] + _SKETCH * sketched)]
+            columns.append(one if sketched else [*one, *[np.zeros(len(one[0]), np.uint64)] * 2])
+        what, key, n, reach, flags, s1, s2 = (np.concatenate(x) for x in zip(*columns, strict=True))
+        del parts, whats, columns
+        if not len(what):
+            return
+        order = np.lexsort((key, flags & np.uint64(3), (flags & np.uint64(4)) == 0, what) if tagged else (key, n, what))
         new = np.ones(len(what), bool)
         w, k, f = what[order], key[order], flags[order]
         new[1:] = (w[1:] != w[:-1]) | (k[1:] != k[:-1]) | (f[1:] != f[:-1])  # equal sets of several tasks
         order = order[new]
         what, key, n, reach, flags, s1, s2 = what[order], key[order], n[order].astype(np.int64), reach[order].astype(np.int64), flags[order].astype(np.uint8), s1[order], s2[order]
         del w, k, f, new, order
-        later = np.searchsorted(what, what, "right") - np.arange(len(what)) - 1
+        shares = _surplus(n) + 1
         if tagged:
+            later = np.searchsorted(what, what, "right") - np.arange(len(what)) - 1
             later[(flags & 4) == 0] = 0
+        else:
+            later = _within(what, n, reach)
         upto = np.cumsum(later)
 
         def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -582,39 +688,43 @@ def candidates(packed: DataFrame, buckets: int, tagged: bool = False, pair_bucke
         while at < len(what):
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
             many = later[at:to]
-            left = np.repeat(np.arange(at, to), many)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
+            small = np.repeat(np.arange(at, to), many)
+            big = small + 1 + np.arange(len(small)) - np.repeat(np.cumsum(many) - many, many)
             at = to
-            swap = n[left] > n[right]
-            small, big = np.where(swap, right, left), np.where(swap, left, right)
-            fit = (n[big] <= 2 * n[small]) & (key[small] != key[big]) & (((flags[small] & 3) == 0) | ((flags[small] & 3) != (flags[big] & 3)))
-            small, big = small[fit], big[fit]
+            if tagged:
+                swap = n[small] > n[big]
+                small, big = np.where(swap, big, small), np.where(swap, small, big)
             p, q = n[small], n[big]
-            shares = _surplus(p) + 1
-            fit = (reach[small] < (2 * p - q) // 3 + shares) & (reach[big] < (2 * q - p) // 3 + shares)
+            fit = reach[big] < (2 * q - p) // 3 + shares[small]
+            if tagged:
+                fit &= (q <= 2 * p) & (reach[small] < (2 * p - q) // 3 + shares[small])
+            fit &= (key[small] != key[big]) & (((flags[small] & 3) == 0) | ((flags[small] & 3) != (flags[big] & 3)))
+            small, big, pq = small[fit], big[fit], (p + q)[fit]
             a1, a2, b1, b2 = s1[small], s2[small], s1[big], s2[big]
             known = ((a1 | a2) != 0) & ((b1 | b2) != 0)
-            fit &= ~known | (3 * (np.bitwise_count(a1 ^ b1).astype(np.int64) + np.bitwise_count(a2 ^ b2)) <= p + q)
-            small, big, shares = small[fit], big[fit], np.minimum(shares, -(-(p + q) // 3))[fit]
+            fit = ~known | (3 * (np.bitwise_count(a1 ^ b1).astype(np.int64) + np.bitwise_count(a2 ^ b2)) <= pq)
+            small, big, pq = small[fit], big[fit], pq[fit]
+            enough = np.minimum(shares[small], -(-pq // 3))
             if len(small):
-                seen.append(_counted([(np.minimum(key[small], key[big]), np.maximum(key[small], key[big]), np.ones(len(small), np.int64), shares)]))
+                seen.append(_counted([(np.minimum(key[small], key[big]), np.maximum(key[small], key[big]), np.ones(len(small), np.int64), enough)]))
                 held += len(seen[-1][0])
-            if held > 4 * PAIRS:
+            if held > 16 * PAIRS:
                 yield out(seen)
                 seen, held = [], 0
         if held:
             yield out(seen)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, most = [], 0, 8 * PAIRS
+        seen, held, most = [], 0, 32 * PAIRS
         for batch in batches:
             for x in batch.column(2).to_pylist():
-                seen.append(tuple(y if i < 2 else y.astype(np.int64) for i, y in enumerate(_unpacked(x, _PAIR))))
+                a, b, c, s = _unpacked(np.frombuffer(x, np.uint8).reshape(sum(_PAIR), -1), _PAIR)
+                seen.append((np.cumsum(a, dtype=np.uint64), b, c.astype(np.int64), s.astype(np.int64)))
                 held += len(seen[-1][0])
                 if held > most:
                     seen = [_counted(seen)]
                     held = len(seen[0][0])
-                    most = max(8 * PAIRS, 2 * held)
+                    most = max(32 * PAIRS, 2 * held)
         if seen:
             a, b, c, s = _counted(seen)
             yield pa.RecordBatch.from_arrays([pa.array(x[c >= s].view(np.int64)) for x in (a, b)], names=["a", "b"])
@@ -634,12 +744,13 @@ def similar_sets(records: DataFrame, size: int = 3) -> tuple[DataFrame, DataFram
     hot = heavy(found, by)
     buckets, pair_buckets = spread(by, hot)
     pairs = cut(candidates(postings(found, by, buckets, hot), buckets, pair_buckets=pair_buckets))
+    short = lacking(found, by)
     whats = lambda batches: (pa.RecordBatch.from_arrays([pa.array(w.view(np.int64))], names=["what"]) for w, *_ in named(batches, by, "short"))
-    wanting = bitmap(found.select("key", "bits").mapInArrow(whats, "what long"), WHAT_BUCKETS)
+    wanting = bitmap(short.mapInArrow(whats, "what long"), WHAT_BUCKETS)
     if wanting.any():
         hot = heavy(found, by.single())
         buckets, pair_buckets = spread(by, hot)
-        both = postings(found, by, buckets, hot, "short", tag=True).unionByName(postings(found, by, buckets, hot, "rest", among=wanting))
+        both = postings(short, by, buckets, hot, "short", tag=True).unionByName(postings(found, by, buckets, hot, "rest", among=wanting))
         pairs = cut(pairs.unionByName(candidates(both, buckets, tagged=True, pair_buckets=pair_buckets)).distinct())
     wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("k")), KEY_BUCKETS)
 

@@ -259,6 +259,51 @@ def test_pairs_on_frequent_subsets_are_foreseen(spark, monkeypatch):
     assert neardup.spread(plan, (np.zeros(2, np.uint64), np.array([1, 20]))) == (1 + (plan.postings + neardup.HOT * 380) // neardup.POSTINGS,) * 2
 
 
+def test_passes_place_only_the_sets_they_need(spark, monkeypatch):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(str(i), [" ".join(f"w{rng.randrange(300)}" for _ in range(20))]) for i in range(100)], "id string, texts array<string>")
+    found = neardup.sets(df, 3)
+    plan = neardup.plan(found)
+    batches = found.select("key", "bits").toArrow().to_batches()
+    total = sum(len(x) // 6 for b in batches for x in b.column(1).to_pylist())
+    placed = []
+    real = neardup.partitions
+    monkeypatch.setattr(neardup, "partitions", lambda owner, *a: placed.append(len(owner)) or real(owner, *a))
+    assert list(neardup.named(iter(batches), plan)) and sum(placed) == total
+    placed.clear()
+    assert not list(neardup.named(iter(batches), plan, "rest", np.zeros(neardup.WHAT_BUCKETS // 8, np.uint8))) and not sum(placed)
+    assert sum(len(w) for w, *_ in neardup.named(iter(batches), plan, "rest", np.full(neardup.WHAT_BUCKETS // 8, 255, np.uint8))) > 0
+
+
+def test_records_without_any_set_are_similar_to_none(spark):
+    df = spark.createDataFrame([("a", ["x"]), ("b", None), ("c", [])], "id string, texts array<string>")
+    assert not neardup.similar_pairs(df).collect()
+
+
+def test_partitions_are_whole_in_batches_of_any_size():
+    rng = np.random.default_rng(3)
+    for many in (50, 5000):
+        owner, run, anchor = neardup.bits([[" ".join(f"w{x}" for x in rng.integers(0, 30, 12))] for _ in range(many)], 3)
+        level = rng.integers(0, 6, neardup.RUN_BUCKETS).astype(np.uint8)
+        _, r, a, starts, sizes, kind = neardup.partitions(owner, run, anchor, level, np.arange(neardup.CLASSES)[::-1])
+        o = np.repeat(np.arange(many), np.bincount(owner, minlength=many))
+        parts = {(int(o[i]), int(k), int(a[i])): set(r[i : i + n].tolist()) for i, n, k in zip(starts, sizes, kind, strict=True)}
+        want = {}
+        for i, x, y in zip(owner.tolist(), run.tolist(), anchor.tolist(), strict=True):
+            want.setdefault((i, int(level[x & (neardup.RUN_BUCKETS - 1)]), y), set()).add(x)
+        assert len(parts) == len(starts) and parts == want
+
+
+def test_only_pairs_of_fitting_sizes_meet():
+    rng = np.random.default_rng(4)
+    what, n, reach = np.sort(rng.integers(0, 20, 600)).astype(np.uint64), rng.integers(1, 400, 600), rng.integers(0, 150, 600)
+    order = np.lexsort((n, what))
+    what, n, reach = what[order], n[order], reach[order]
+    shares = neardup._surplus(n) + 1
+    want = [sum(what[i] == what[j] and n[j] <= 2 * n[i] and reach[i] < (2 * n[i] - n[j]) // 3 + shares[i] for j in range(i + 1, 600)) for i in range(600)]
+    assert neardup._within(what, n, reach).tolist() == want and 0 < sum(want) < 600 * 30 / 4
+
+
 def test_groups_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)]
     pairs = spark.createDataFrame(edges, "a long, b long")
